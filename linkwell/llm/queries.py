@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op07_jaccard, op10_langid
+from . import op01_toxicity, op03_quality, op07_jaccard, op10_langid
 
-_MODULES = (op07_jaccard, op10_langid)
+_MODULES = (op01_toxicity, op03_quality, op07_jaccard, op10_langid)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
