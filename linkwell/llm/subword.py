@@ -114,6 +114,16 @@ class Words:
 
 def bags(column: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse document features: (document, bucket, share of the document's features), sorted by document."""
+    parts = []
+    for at, n in byte_slices(column, 1 << 18):  # what a slice needs besides its result stays small
+        doc, bucket, share = _bags(column.slice(at, n), shape)
+        parts.append((doc.astype(np.int32) + np.int32(at), bucket, share))
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _bags(column: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = Words(column, shape)
     word, bucket = w.features()
     order = np.argsort(word, kind="stable")
@@ -172,7 +182,8 @@ def train(texts: pa.Array, labels: np.ndarray, shape: Shape, seed: int = 5) -> M
         local = np.repeat(np.arange(len(rows)), first[rows + 1] - first[rows])
         order = np.argsort(bucket[at], kind="stable")
         touched, begin = np.unique(bucket[at][order], return_index=True)
-        batches.append((rows, bucket[at], share[at], local, order, touched, begin))
+        batches.append((rows, bucket[at], share[at], local.astype(np.uint16), order.astype(np.int32), touched, begin.astype(np.int32)))
+    del doc, bucket, share
     steps, largest = 0, 1e-12
     for epoch in range(shape.epochs):
         for i in rng.permutation(len(batches)):
