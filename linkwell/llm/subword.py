@@ -206,13 +206,17 @@ def train(texts: pa.Array, labels: np.ndarray, shape: Shape, seed: int = 5) -> M
     return Model(shape, effect, float(bias[1] - bias[0]))
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels of about SAMPLE_DOCS documents of each label 0 and 1, chosen by a hash of the id."""
-    docs = docs.filter(F.col(label_col).isin(0, 1))
-    totals = {r[0]: r[1] for r in docs.groupBy(F.col(label_col).cast("int")).count().collect()}
-    at, one = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)), F.col(label_col).cast("int")
+def labelled_sample(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of about SAMPLE_DOCS documents of each label 0 and 1, chosen by a hash of the id.
+
+    marks: (id_col, label). The choice is made before texts are read; the chosen ids, at most
+    4 * SAMPLE_DOCS rows of two numbers, are what is broadcast.
+    """
+    totals = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
+    at = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     most = [min(1 << 30, int((1 << 30) * SAMPLE_DOCS / max(1, totals.get(k, 0)))) for k in (0, 1)]
-    chosen = docs.filter(at < F.when(one == 1, most[1]).otherwise(most[0])).select(one.alias("label"), F.col(text_col).alias("text"))
+    ids = marks.filter(at < F.when(F.col("label") == 1, most[1]).otherwise(most[0])).limit(4 * SAMPLE_DOCS)
+    chosen = docs.join(F.broadcast(ids), id_col).select("label", F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -229,7 +233,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str)
                     texts.append(b" ".join(buf[starts[p] : min(ends[p], starts[p] + LONGEST)].tobytes() for p in pick).decode("utf-8", "ignore"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["label", "text"])
 
-    rows = sorted((r["label"], r["text"]) for r in chosen.mapInArrow(run, "label int, text string").limit(6 * SAMPLE_DOCS).collect())
+    rows = sorted((r["label"], r["text"]) for r in chosen.mapInArrow(run, "label int, text string").limit(8 * SAMPLE_DOCS).collect())
     return pa.array([t for _, t in rows], pa.string()), np.array([x for x, _ in rows], np.int64)
 
 
@@ -254,7 +258,6 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: st
 
     A null label or one other than 0 and 1 teaches nothing; a document that is labelled twice counts twice.
     """
-    marks = labels.select(F.col(id_col), F.col(label_col).alias("label")).filter("label in (0, 1)")
-    known = docs.filter(~held_out).select(id_col, text_col).join(marks.filter(~held_out), id_col)
-    model = train(*labelled_sample(known, id_col, text_col, "label"), shape)
+    marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out)
+    model = train(*labelled_sample(docs.filter(~held_out).select(id_col, text_col), marks, id_col, text_col), shape)
     return score(docs.select(id_col, text_col, held_out.alias("held_out")), model, text_col).drop(text_col)
