@@ -212,7 +212,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that contain an item of the benchmark; a document with a null id stays."""
-    bad = leaks(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """docs without the documents that contain an item of the benchmark; rows are dropped where they are read."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    for rows in _blocks(benchmark, item_col, item_text_col):
+
+        def run(batches, block=Block.of(rows, least)):
+            for batch in batches:
+                for a, n in byte_slices(batch.column(at)):
+                    part = batch.slice(a, n)
+                    clean = np.ones(n, bool)
+                    clean[[d for d, *_ in block.compare(part.column(at), least, coverage)]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

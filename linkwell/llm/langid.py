@@ -218,9 +218,9 @@ def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> l
     return sorted((r["lang"], [bytes(w) for w in r["words"]]) for r in rows)
 
 
-def predict(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added; columns of those names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, net: Net, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its probability added; columns of the names in out are replaced."""
+    docs = docs.drop(*out)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -234,10 +234,10 @@ def predict(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
                     some = counts > 0
                     scores[some] = np.clip(sums[some, best[some]] / counts[some], 0, 1)
                     names = [net.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, *out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, `{out[0]}` string, `{out[1]}` double")
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

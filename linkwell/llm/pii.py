@@ -155,11 +155,14 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets, e.g. [EMAIL]; overlapping spans are masked as one.
 
-    The text is cut where spans begin and end; columns stay as they are.
+    The text is cut where spans begin and end; the columns stay as they are, null texts stay null.
     """
-    found = find_pii(docs, text_col, "__pii")
+    hold = "__pii"
+    while hold in docs.columns:
+        hold += "_"
+    found = find_pii(docs, text_col, hold)
     text = F.col(text_col)
-    order = F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(hold, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -168,4 +171,4 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.when(s["start"] >= acc["at"], add).otherwise(acc["parts"]).alias("parts"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     whole = F.aggregate(order, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__pii") > 0, whole).otherwise(text)).drop("__pii")
+    return found.withColumn(text_col, F.when(F.size(hold) > 0, whole).otherwise(text)).drop(hold)
