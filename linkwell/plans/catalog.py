@@ -2,6 +2,231 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkwell.functions import phonetic, similarity
+from linkwell.operators import blocking, features, matching, scoring, tfidf
+
+from . import adapters as A
+from .sql import ORACLE_SQL  # noqa: F401
+
+FLOOR = 50  # occurrences from which a token is a stop word on these tables
 FLAGSHIP = "token_linked_records"
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = A.normalized(spark, sf_dir)
+    return A.source(rows, 1), A.source(rows, 2, 3)
+
+
+def _token_pairs(s1: DataFrame, ext: DataFrame) -> DataFrame:
+    """(s1, id, both, any) of pairs of one country that share a name token that is no stop word."""
+    pairs = blocking.token_candidates(s1, blocking.token_index(ext, share=0, floor=FLOOR))
+    a = s1.select(F.col("entity_id").alias("s1"), F.col("name_tokens").alias("a"))
+    b = ext.select(F.col("entity_id").alias("id"), F.col("name_tokens").alias("b"))
+    joined = pairs.join(a, "s1").join(b, "id")
+    return joined.select("s1", "id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("any"))
+
+
+def _linked(s1: DataFrame, ext: DataFrame) -> DataFrame:
+    return _token_pairs(s1, ext).filter(F.col("both") * 2 >= F.col("any")).select("s1", "id")
+
+
+def normalized_entities(spark, sf_dir):
+    joined = {c: F.array_join(c, " ") for c in ("name_tokens", "address_tokens")}
+    return A.normalized(spark, sf_dir).withColumns(joined).select("entity_id", "name_norm", "address_norm", "country_norm", "postal_code", "name_tokens", "address_tokens")
+
+
+def token_linked_records(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    return blocking.joined_lists(s1, _linked(s1, ext), "matched_entity_ids")
+
+
+def stop_tokens(spark, sf_dir):
+    _, ext = _sides(spark, sf_dir)
+    keys = ext.select(F.explode("name_tokens").alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("n")).join(blocking.stop_keys(keys, ext, 0, FLOOR), "key", "left_semi")
+
+
+def soundex_codes(spark, sf_dir):
+    return A.normalized(spark, sf_dir).select("entity_id", phonetic.soundex(F.col("name_norm")).alias("code"))
+
+
+def sorted_neighbours(spark, sf_dir):
+    return blocking.neighbour_candidates(*_sides(spark, sf_dir), window=2)
+
+
+def postal_address_candidates(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    return blocking.address_candidates(s1, blocking.postal_index(ext), blocking.address_index(ext, share=0, floor=FLOOR))
+
+
+def phonetic_candidates(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    return blocking.phonetic_candidates(s1, blocking.phonetic_index(ext), cap=60)
+
+
+def _pairs(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    return s1, ext, _token_pairs(s1, ext).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") / F.col("any")).alias("score"))
+
+
+def pair_features(spark, sf_dir):
+    s1, ext, pairs = _pairs(spark, sf_dir)
+    joined = features.join_pairs(pairs, s1, ext)
+    own = features.name_features(joined) | features.address_features(joined)
+    names = ["name_exact_raw", "name_exact_norm", "name_jaccard_tokens", "name_token_overlap_count", "address_exact_norm", "postal_available", "postal_exact_match"]
+    group = Window.partitionBy("source1_entity_id")
+    rows = joined.withColumns({n: own[n] for n in names}).withColumns(
+        {
+            "candidate_source_id": F.col("candidate_entity_id").startswith("S3").cast("int"),
+            "candidate_rank_in_group": F.row_number().over(group.orderBy(F.desc("score"), "candidate_entity_id")),
+            "candidate_set_size": F.count("*").over(group).cast("int"),
+            "name_jaccard_tokens": F.round(own["name_jaccard_tokens"], 6),
+        }
+    )
+    return rows.select("source1_entity_id", "candidate_entity_id", *names, "candidate_source_id", "candidate_rank_in_group", "candidate_set_size")
+
+
+def full_features(spark, sf_dir):
+    s1, ext, pairs = _pairs(spark, sf_dir)
+    return features.build_features(pairs.drop("score"), s1, ext)
+
+
+def candidate_lists(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    return blocking.joined_lists(s1, blocking.candidates(s1, ext, k=50, floor=FLOOR))
+
+
+def name_tfidf_cosines(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    everyone = A.normalized(spark, sf_dir)
+    v = tfidf.weights(everyone, "name_norm", tfidf.word_terms, tfidf.idf(everyone, "name_norm", tfidf.word_terms, most=1 << 30))
+    pairs = _token_pairs(s1, ext)
+    a = s1.select(F.col("entity_id").alias("s1"), F.col("name_norm").alias("ta"))
+    b = ext.select(F.col("entity_id").alias("id"), F.col("name_norm").alias("tb"))
+    rows = pairs.join(a, "s1").join(b, "id").join(v.toDF("ta", "va"), "ta", "left").join(v.toDF("tb", "vb"), "tb", "left")
+    return rows.select("s1", "id", F.round(tfidf.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
+
+
+def entity_scores(spark, sf_dir):
+    scores = scoring.entity_scores(token_linked_records(spark, sf_dir), A.truth(spark, sf_dir))
+    return scores.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f_beta")})
+
+
+def macro_scores(spark, sf_dir):
+    return scoring.macro_scores(scoring.entity_scores(token_linked_records(spark, sf_dir), A.truth(spark, sf_dir)))
+
+
+def _split(spark, sf_dir):
+    return scoring.split(A.source(A.entities(spark, sf_dir), 1), A.truth(spark, sf_dir))
+
+
+def stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir)
+
+
+def split_distribution(spark, sf_dir):
+    n = _split(spark, sf_dir).groupBy("split", "stratum").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")), 6))
+
+
+def subset_violations(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    return scoring.subset_violations(A.truth(spark, sf_dir), blocking.joined_lists(s1, _linked(s1, ext)))
+
+
+def output_validation(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    return scoring.validate(A.truth(spark, sf_dir), blocking.joined_lists(s1, _linked(s1, ext)), s1)
+
+
+def match_count_histogram(spark, sf_dir):
+    size = F.size(scoring.id_list(F.col("matched_entity_ids")))
+    counts = A.truth(spark, sf_dir).groupBy(F.when(size >= 5, "5+").otherwise(size.cast("string")).alias("bucket")).agg(F.count("*").alias("n"))
+    buckets = spark.createDataFrame([(b,) for b in ("0", "1", "2", "3", "4", "5+")], "bucket string")
+    return buckets.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def _truth_pairs(spark, sf_dir):
+    ids = F.explode(scoring.id_list(F.col("matched_entity_ids")))
+    return A.truth(spark, sf_dir).select(F.col("source1_entity_id").alias("s1"), ids.alias("id"))
+
+
+def matched_source_shares(spark, sf_dir):
+    n = _truth_pairs(spark, sf_dir).groupBy(F.substring("id", 1, 2).alias("source")).agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    return n.join(F.broadcast(total)).select("source", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def unreferenced_externals(spark, sf_dir):
+    ext = A.source(A.entities(spark, sf_dir), 2, 3).select("entity_id")
+    return ext.join(_truth_pairs(spark, sf_dir).select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+
+
+def id_quality(spark, sf_dir):
+    return A.normalized(spark, sf_dir).groupBy(F.substring("entity_id", 1, 2).alias("source")).agg(
+        F.count("*").alias("n"),
+        (F.count("*") - F.countDistinct("entity_id")).alias("duplicates"),
+        F.count(F.when(F.col("name_norm") == "", 1)).alias("empty_names"),
+        F.bool_and(F.col("entity_id").startswith("S")).alias("prefixed"),
+    )
+
+
+def field_stats(spark, sf_dir):
+    size = F.length("business_name")
+    return A.entities(spark, sf_dir).groupBy(F.substring("entity_id", 1, 2).alias("source")).agg(
+        F.round(F.avg(size), 6).alias("mean_chars"), F.percentile(size, F.lit(0.5)).alias("median_chars"), F.min(size).alias("min_chars"), F.max(size).alias("max_chars")
+    )
+
+
+def country_by_source(spark, sf_dir):
+    rows = A.entities(spark, sf_dir).withColumn("source", F.substring("entity_id", 1, 2))
+    return rows.groupBy("country").pivot("source", ["S1", "S2", "S3"]).agg(F.count(F.lit(1))).na.fill(0, ["S1", "S2", "S3"])
+
+
+def stratified_sample(spark, sf_dir):
+    """A sampling operator: 35 entities with one match and 25 with more, by a seeded hash."""
+    rows = _split(spark, sf_dir).select("entity_id", "stratum")
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy(matching.hash_order(7, "entity_id"), "entity_id"))
+    take = F.when(F.col("stratum") == 1, 35).when(F.col("stratum") == 2, 25).otherwise(0)
+    return rows.withColumn("place", place).filter(F.col("place") <= take).select("entity_id", "stratum")
+
+
+def _labelled(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    rows = _token_pairs(s1, ext).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") >= 3).cast("int").alias("is_exact_tier"))
+    return features.label_pairs(rows, A.truth(spark, sf_dir))
+
+
+def training_sample(spark, sf_dir):
+    return matching.training_sample(_labelled(spark, sf_dir)).select("source1_entity_id", "candidate_entity_id", F.col("is_true_match").alias("label"))
+
+
+def threshold_sweep(spark, sf_dir):
+    _, _, pairs = _pairs(spark, sf_dir)
+    return matching.sweep(pairs.withColumnRenamed("score", "match_probability"), A.truth(spark, sf_dir))
+
+
+def model_matches(spark, sf_dir):
+    rows = features.label_pairs(full_features(spark, sf_dir), A.truth(spark, sf_dir))
+    model = matching.train(matching.training_sample(rows), maxIter=10)
+    return matching.assemble(matching.predict(model, rows))
+
+
+def name_similarities(spark, sf_dir):
+    s1, ext, pairs = _pairs(spark, sf_dir)
+    rows = features.join_pairs(pairs, s1, ext)
+    a, b = F.col("s1_name_norm"), F.col("cand_name_norm")
+    return rows.select(
+        "source1_entity_id", "candidate_entity_id", F.round(similarity.indel_ratio(a, b), 6).alias("indel"), F.round(similarity.token_set_ratio(a, b), 6).alias("token_set"), F.round(similarity.matching_blocks_ratio(a, b), 6).alias("blocks")
+    )
+
+
+_ALL = (
+    normalized_entities, token_linked_records, stop_tokens, soundex_codes, sorted_neighbours, postal_address_candidates, phonetic_candidates, pair_features, full_features, candidate_lists,
+    name_tfidf_cosines, entity_scores, macro_scores, stratified_split, split_distribution, subset_violations, output_validation, match_count_histogram, matched_source_shares,
+    unreferenced_externals, id_quality, field_stats, country_by_source, stratified_sample, training_sample, threshold_sweep, model_matches, name_similarities,
+)
+QUERIES = {f.__name__: f for f in _ALL}
