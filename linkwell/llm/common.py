@@ -100,3 +100,21 @@ def byte_slices(column: pa.Array, most: int = 4 << 20):
         last = max(first + 1, int(np.searchsorted(off, off[first] + most, side="right")) - 1)
         yield first, last - first
         first = last
+
+
+def runs(batches, keys: tuple[str, ...]):
+    """(table, bounds) of whole runs of rows with equal keys, from batches that arrive sorted by them."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+        new = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in keys:
+            column = np.asarray(table.column(k))
+            new |= column[1:] != column[:-1]
+        bounds = np.flatnonzero(new) + 1
+        done = int(bounds[-1]) if len(bounds) else 0
+        if done:
+            yield table.slice(0, done), np.concatenate(([0], bounds))
+        rest = table.slice(done)
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])

@@ -8,10 +8,11 @@ must agree in one segment at least: equal segments are the join key (pigeonhole)
 pass the Hamming bound on a short whole sketch, and last an exact comparison of the sets.
 
 A text that is equal to another as a set shares its class, so copies never form pairs. In a group
-of texts with an equal segment only the pairs with the group's hub are tested; groups whose members
-are not all connected after that are tested further, hub by hub or (small groups) pair by pair
-between different components, until nothing is undecided. No pair within one component is emitted
-and no link between components is lost.
+of texts with an equal segment the pairs with the group's hub are tested first. Groups whose members
+are not all connected by that are dealt into blocks of comparisons, in which sketches are compared
+and only near pairs between different components are emitted: first each member's nearest one of
+each other component, then, once those that link are merged, all that remain. No pair within one
+component is emitted and no link between components is lost.
 
 Cases: a null or wordless text has the empty set, n_shingles 0 and links with nothing; a text with
 fewer than k words has one shingle, the whole sequence; rows with the same id are one node; a null
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stage, unstage, utf8
+from .common import byte_slices, runs, stage, utf8
 from .components import components
 from .textkit import U, lower_ascii, mix, shingle_hashes, word_bounds, word_hashes
 
 GROWTH = 1.6  # of the size bands
-SMALL = 64  # members up to which a mixed group is settled pair by pair
+CHUNK = 256  # members of a group that one side of a block of comparisons holds
 
 
 class Bands:
@@ -228,28 +229,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         signed.filter("id is not null and n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes"
     )
     postings = _postings(known, k, bands)
-    hubs = postings.groupBy("key").agg(F.min("f1").alias("hub"), F.max("f1").alias("last")).filter("hub < last")
-    members = stage(postings.join(hubs.select("key", "hub"), "key").distinct(), "members")
+    shared = postings.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low < high")
+    members = stage(postings.join(shared.select("key"), "key").distinct(), "members")
+    groups = stage(_unlike(members), "groups")
 
     by_print = classes.select("f1", "rep", "n", "sketch")
     side = lambda x: by_print.toDF(f"f{x}", x, f"n{x}", f"s{x}")
-    tried = links = None
-    open_groups, labels = members, None
-    while True:
-        pairs = open_groups.filter("hub <> f1").select(F.col("hub").alias("fa"), F.col("f1").alias("fb")).distinct()
-        pairs = pairs.join(side("a"), "fa").join(side("b"), "fb").select("a", "b", "na", "nb", "sa", "sb")
-        near = _near(pairs, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    tried = links = labels = None
+    for step in ("hub", "nearest", "rest"):
+        if step == "hub":
+            pairs = groups.filter("hub <> f1").select(F.col("hub").alias("fa"), F.col("f1").alias("fb")).distinct()
+            near = _near(pairs.join(side("a"), "fa").join(side("b"), "fb").select("a", "b", "na", "nb", "sa", "sb"), num, den)
+        else:
+            near = _across(groups, by_print, labels, num, den, step == "nearest")
+        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
         if tried is not None:
             near = near.join(tried, ["a", "b"], "left_anti")
         near = stage(near, "near")
-        if not near.isEmpty():
-            found = stage(_exact(docs, near, classes, k, num, den), "links")
-            tried = near if tried is None else stage(tried.union(near), "tried")
-            links = found if links is None else stage(links.union(found), "links")
-            labels = stage(components(links, "a", "b"), "labels")
-        open_groups = _undecided(open_groups, by_print, labels)
-        if open_groups.isEmpty():
-            break
+        if near.isEmpty():
+            if step == "nearest":
+                break  # no near pair between components at all
+            continue
+        found = stage(_exact(docs, near, classes, k, num, den), "links")
+        tried = near if tried is None else stage(tried.union(near), "tried")
+        links = found if links is None else stage(links.union(found), "links")
+        labels = stage(components(links, "a", "b"), "labels")
 
     out = signed.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
     if labels is not None:
@@ -273,27 +277,72 @@ def _exact(docs: DataFrame, near: DataFrame, classes: DataFrame, k: int, num: in
     return _verified(both, num, den).distinct()
 
 
-def _undecided(groups: DataFrame, by_print: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Groups that still hold several components once the pairs with their hub are settled, as (key, f1, hub).
+def _unlike(members: DataFrame) -> DataFrame:
+    """(key, f1) with hub, its group's least member; of groups with the same members one remains."""
+    size = members.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum(F.xxhash64("f1").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "f1").cast("decimal(20,0)")).alias("s2"), F.min("f1").alias("hub")
+    )
+    one = size.groupBy("size", "s1", "s2").agg(F.min("key").alias("key"), F.first("hub").alias("hub"))
+    return members.join(one.select("key", "hub"), "key").select("key", "f1", "hub")
+
 
-    The hub leaves its group. A small rest is dealt out to every possible hub among its members
-    (pairs across components only); a large rest gets its next hub.
+def _across(groups: DataFrame, by_print: DataFrame, labels: DataFrame | None, num: int, den: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of one group and different components whose sizes and sketches allow a link.
+
+    nearest: of each member, only the nearest member of each other component within a block.
     """
-    rest = groups.filter("hub <> f1").select("key", "f1", F.col("hub").alias("old"))
-    named = rest.join(by_print.select("f1", F.col("rep")), "f1")
+    named = groups.select("key", "f1").join(by_print, "f1")
     if labels is None:
         named = named.withColumn("comp", F.col("rep"))
     else:
         named = named.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep"))
-    # a group keeps its key through the rounds; groups made from one key by different hubs are told apart by that hub
-    named = named.select(F.xxhash64("key", "old").alias("key"), "f1", "comp").distinct()
-    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("f1").alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
-    named = stage(named.join(mixed.select("key", "size", "hub"), "key"), "mixed")
-    small = named.filter(F.col("size") <= SMALL)
-    other = small.select("key", F.col("f1").alias("hub"), F.col("comp").alias("hub_comp"))
-    crossed = small.drop("hub").join(other, "key").filter("comp <> hub_comp and f1 > hub")
-    pairs = crossed.select(F.xxhash64("key", "hub").alias("key"), "f1", "hub")
-    large = named.filter(F.col("size") > SMALL).select("key", "f1", "hub")
-    out = stage(pairs.union(large), "groups")
-    unstage(named)
+    named = stage(named.select("key", "rep", "n", "sketch", "comp"), "named")
+    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
+    parts = mixed.select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
+    work = named.join(parts, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    work = work.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "n", "sketch", "comp")
+    work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+    def run(batches):
+        for table, bounds in runs(batches, ("key", "i", "j")):
+            out = []
+            i, j, chunk, rep, n, comp = (np.asarray(table.column(c)) for c in ("i", "j", "chunk", "rep", "n", "comp"))
+            sketches = table.column("sketch").to_pylist()
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                if e - s > 1:
+                    out += _block(i[s] != j[s], chunk[s:e], rep[s:e], n[s:e], comp[s:e], sketches[s:e], num, den, nearest)
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return work.mapInArrow(run, "a bigint, b bigint")
+
+
+def _block(two: bool, chunk, rep, n, comp, sketches, num: int, den: int, nearest: bool) -> list[tuple[int, int]]:
+    size = min(map(len, sketches))
+    rows = np.stack([_folded(x, size) for x in sketches])
+    out = []
+    for r in range(len(rep) - 1):
+        rest = slice(r + 1, None)
+        ok = (comp[rest] != comp[r]) & (den * np.minimum(n[rest], n[r]) >= num * np.maximum(n[rest], n[r]))
+        if two:
+            ok &= chunk[rest] != chunk[r]  # pairs within a chunk belong to its own block
+        at = np.flatnonzero(ok) + r + 1
+        if not len(at):
+            continue
+        far = np.bitwise_count(rows[at] ^ rows[r]).sum(axis=1, dtype=np.int64)
+        hold = far <= (n[at] + n[r]) * (den - num) // (den + num)
+        at, far = at[hold], far[hold]
+        if nearest and len(at):
+            at = at[np.lexsort((rep[at], far))]
+            at = at[np.unique(comp[at], return_index=True)[1]]
+        out += [(int(rep[r]), int(rep[x])) for x in at]
     return out
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch folded by XOR to size bytes, as words."""
+    x = np.frombuffer(sketch, U)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
