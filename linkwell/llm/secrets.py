@@ -4,7 +4,7 @@ The base rules find assignments to names such as password or token, cloud access
 of hex digits. The method adds spans of kind random: runs of RUN key characters are scored by two
 Markov models of characters (each given the two before it), one of random strings and one of
 ordinary identifiers and words; the mean log-likelihood ratio per character decides. Both models
-are trained, with add-one smoothing, on labelled samples: strings drawn from a seeded generator over
+are trained, with back-off to lower orders, on labelled samples: strings drawn from a seeded generator over
 the usual key alphabets, and identifiers joined from common words in the usual styles.
 
 Cases: a null text counts as empty and has no spans; other columns pass through; repeated rows give
@@ -28,7 +28,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["'
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_RATIO = -0.1  # mean natural log-likelihood ratio per character from which a run counts as random
+BACK = 8  # weight of the lower order against observed counts
+LEAST_RATIO = 1.8  # mean natural log-likelihood ratio per character from which a run counts as random
 LEAST_CLASSES = 3  # of lower-case, upper-case and digits: a run without all of them is left alone
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _AT = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0 stands for the place before the first character
@@ -68,17 +69,20 @@ def labelled_samples(seed: int = 20) -> tuple[list[str], list[str]]:
 
 
 class Markov:
-    """Second-order character model over ALPHABET, as a table of log probabilities."""
+    """Second-order character model over ALPHABET, backed off to first order and single characters, as log probabilities."""
 
     def __init__(self, samples: list[str]):
-        counts = np.ones((_N, _N, _N))
+        counts = np.zeros((_N, _N, _N))
         for text in samples:
             a = b = 0
             for c in text:
                 x = _AT[c]
                 counts[a, b, x] += 1
                 a, b = b, x
-        self.log = np.log(counts / counts.sum(axis=2, keepdims=True))
+        two, one = counts.sum(axis=0), counts.sum(axis=(0, 1)) + 1
+        one = one / one.sum()
+        two = (two + BACK * one) / (two.sum(axis=1, keepdims=True) + BACK)
+        self.log = np.log((counts + BACK * two) / (counts.sum(axis=2, keepdims=True) + BACK))
 
 
 _ratio: list = []
