@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -209,8 +211,16 @@ def threshold_sweep(spark, sf_dir):
     return matching.sweep(pairs.withColumnRenamed("score", "match_probability"), A.truth(spark, sf_dir))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder, as training reads it many times; a folder is made only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkwell-"))
+    return df.checkpoint()
+
+
 def model_matches(spark, sf_dir):
-    rows = features.label_pairs(full_features(spark, sf_dir), A.truth(spark, sf_dir))
+    rows = _kept(features.label_pairs(full_features(spark, sf_dir), A.truth(spark, sf_dir)))
     model = matching.train(matching.training_sample(rows), maxIter=10)
     return matching.assemble(matching.predict(model, rows))
 
