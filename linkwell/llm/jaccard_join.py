@@ -10,9 +10,10 @@ pass the Hamming bound on a short whole sketch, and last an exact comparison of
 A text that is equal to another as a set shares its class, so copies never form pairs. In a group
 of texts with an equal segment the pairs with the group's hub are tested first. Groups whose members
 are not all connected by that are dealt into blocks of comparisons, in which sketches are compared
-and only near pairs between different components are emitted: first each member's nearest one of
-each other component, then, once those that link are merged, all that remain. No pair within one
-component is emitted and no link between components is lost.
+and only near pairs between different components are emitted: first, from an eighth of the groups
+and then from all, no more pairs of a block than would connect it, nearest first; then, once those
+that link are merged, all that remain. No pair within one component is emitted and no link between
+components is lost.
 
 Cases: a null or wordless text has the empty set, n_shingles 0 and links with nothing; a text with
 fewer than k words has one shingle, the whole sequence; rows with the same id are one node; a null
@@ -236,19 +237,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_print = classes.select("f1", "rep", "n", "sketch")
     side = lambda x: by_print.toDF(f"f{x}", x, f"n{x}", f"s{x}")
     tried = links = labels = None
-    for step in ("hub", "nearest", "rest"):
+    for step in ("hub", "some", "all", "rest"):
         if step == "hub":
             pairs = groups.filter("hub <> f1").select(F.col("hub").alias("fa"), F.col("f1").alias("fb")).distinct()
             near = _near(pairs.join(side("a"), "fa").join(side("b"), "fb").select("a", "b", "na", "nb", "sa", "sb"), num, den)
         else:
-            near = _across(groups, by_print, labels, num, den, step == "nearest")
+            some = groups.filter(F.pmod(F.xxhash64("key"), F.lit(8)) == 0) if step == "some" else groups
+            near = _across(some, by_print, labels, num, den, step != "rest")
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-        if tried is not None:
-            near = near.join(tried, ["a", "b"], "left_anti")
         near = stage(near, "near")
+        if step == "all" and near.isEmpty():
+            break  # no near pair between components is left
+        if tried is not None:
+            near = stage(near.join(tried, ["a", "b"], "left_anti"), "near")
         if near.isEmpty():
-            if step == "nearest":
-                break  # no near pair between components at all
             continue
         found = stage(_exact(docs, near, classes, k, num, den), "links")
         tried = near if tried is None else stage(tried.union(near), "tried")
@@ -286,10 +288,10 @@ def _unlike(members: DataFrame) -> DataFrame:
     return members.join(one.select("key", "hub"), "key").select("key", "f1", "hub")
 
 
-def _across(groups: DataFrame, by_print: DataFrame, labels: DataFrame | None, num: int, den: int, nearest: bool) -> DataFrame:
+def _across(groups: DataFrame, by_print: DataFrame, labels: DataFrame | None, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of one group and different components whose sizes and sketches allow a link.
 
-    nearest: of each member, only the nearest member of each other component within a block.
+    forest: within a block only pairs that would connect components not yet connected, a member's nearest first.
     """
     named = groups.select("key", "f1").join(by_print, "f1")
     if labels is None:
@@ -311,17 +313,24 @@ def _across(groups: DataFrame, by_print: DataFrame, labels: DataFrame | None, nu
             sketches = table.column("sketch").to_pylist()
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s > 1:
-                    out += _block(i[s] != j[s], chunk[s:e], rep[s:e], n[s:e], comp[s:e], sketches[s:e], num, den, nearest)
+                    out += _block(i[s] != j[s], chunk[s:e], rep[s:e], n[s:e], comp[s:e], sketches[s:e], num, den, forest)
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return work.mapInArrow(run, "a bigint, b bigint")
 
 
-def _block(two: bool, chunk, rep, n, comp, sketches, num: int, den: int, nearest: bool) -> list[tuple[int, int]]:
+def _block(two: bool, chunk, rep, n, comp, sketches, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
     size = min(map(len, sketches))
     rows = np.stack([_folded(x, size) for x in sketches])
-    out = []
+    out, parent = [], {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
     for r in range(len(rep) - 1):
         rest = slice(r + 1, None)
         ok = (comp[rest] != comp[r]) & (den * np.minimum(n[rest], n[r]) >= num * np.maximum(n[rest], n[r]))
@@ -333,10 +342,13 @@ def _block(two: bool, chunk, rep, n, comp, sketches, num: int, den: int, nearest
         far = np.bitwise_count(rows[at] ^ rows[r]).sum(axis=1, dtype=np.int64)
         hold = far <= (n[at] + n[r]) * (den - num) // (den + num)
         at, far = at[hold], far[hold]
-        if nearest and len(at):
-            at = at[np.lexsort((rep[at], far))]
-            at = at[np.unique(comp[at], return_index=True)[1]]
-        out += [(int(rep[r]), int(rep[x])) for x in at]
+        for x in at[np.lexsort((rep[at], far))]:
+            if forest:
+                a, b = find(int(comp[r])), find(int(comp[x]))
+                if a == b:
+                    continue
+                parent[a] = b
+            out.append((int(rep[r]), int(rep[x])))
     return out
 
 
