@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -68,6 +69,12 @@ def unstage(df: DataFrame) -> None:
             _drop(spark, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's cleaner drop the shuffle files of finished steps now, not at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts

@@ -4,7 +4,8 @@ Each text's set of k-word shingles is hashed; every shingle flips one bit of a p
 Hamming distance of two sketches is never more than the symmetric difference of their sets. A
 Jaccard similarity of num/den or more bounds that difference by (den - num) / (den + num) of the
 two sizes' sum. Within a size band the bound is one number D, and a sketch cut into D + 1 segments
-must agree in one segment at least: equal segments are the join key (pigeonhole). Candidates then
+must agree in one segment at least: equal segments are the join key (pigeonhole). Some spare segments
+let those with one shingle or none be left out; a text with more of them posts them all. Candidates then
 pass the Hamming bound on a short whole sketch, and last an exact comparison of the sets.
 
 A text that is equal to another as a set shares its class, so copies never form pairs. In a group
@@ -30,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, runs, stage, utf8
+from .common import byte_slices, release, runs, stage, unstage, utf8
 from .components import components
 from .textkit import U, lower_ascii, mix, shingle_hashes, word_bounds, word_hashes
 
 GROWTH = 1.6  # of the size bands
+LOW = 2  # shingles from which a segment is a key; texts agree in more segments than can be low
 CHUNK = 256  # members of a group that one side of a block of comparisons holds
 
 
@@ -48,7 +50,10 @@ class Bands:
             tops.append(max(math.ceil(tops[-1] * GROWTH), tops[-1] + 6))
         self.tops = np.array(tops, np.int64)
         self.diff = np.array([2 * t * (den - num) // (den + num) for t in tops[1:]], np.int64)
-        self.spare = 1 + self.diff // 32  # segments that may be empty
+        # segments that may be low: with one shingle or none, which unlike texts share by chance
+        mean = 0.45 * (den + num) / (den - num)  # shingles of a segment, about
+        low = math.exp(-mean) * (1 + mean)
+        self.spare = 2 + np.ceil(1.3 * low * self.diff).astype(np.int64)
         self.segments = np.where(self.diff > 0, self.diff + 1 + self.spare, 0)
         self.width = np.array([1 << max(6, int(4 * (d + 1) - 1).bit_length()) for d in self.diff], object)
 
@@ -100,11 +105,11 @@ def _segment_keys(hashes, owner, first, bands: Bands):
         at = base[owner[hold]] + ((place[hold] * segments[owner[hold]]) >> 32)
         acc = np.zeros(int(base[-1]), U)
         np.bitwise_xor.at(acc, at, value[hold])
-        full = np.bincount(at, minlength=len(acc)) > 0
+        full = np.bincount(at, minlength=len(acc)) >= LOW
         text = np.repeat(np.arange(len(n)), segments)
         index = np.arange(len(acc)) - base[text]
-        empties = np.bincount(text[~full], minlength=len(n))
-        emit = full | (empties > bands.spare[band])[text]  # more empty ones than spares: they count as well
+        lows = np.bincount(text[~full], minlength=len(n))
+        emit = full | (lows > bands.spare[band])[text]  # more low ones than spares: they count as well
         salt = mix((band[text].astype(U) << U(40)) + index.astype(U) + U(1))
         texts.append(text[emit])
         keys.append(mix(acc[emit] ^ salt[emit]))
@@ -233,6 +238,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = postings.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low < high")
     members = stage(postings.join(shared.select("key"), "key").distinct(), "members")
     groups = stage(_unlike(members), "groups")
+    unstage(members)
+    release(docs.sparkSession)
 
     by_print = classes.select("f1", "rep", "n", "sketch")
     side = lambda x: by_print.toDF(f"f{x}", x, f"n{x}", f"s{x}")
@@ -246,6 +253,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             near = _across(some, by_print, labels, num, den, step != "rest")
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
         near = stage(near, "near")
+        release(docs.sparkSession)
         if step == "all" and near.isEmpty():
             break  # no near pair between components is left
         if tried is not None:
@@ -293,15 +301,16 @@ def _across(groups: DataFrame, by_print: DataFrame, labels: DataFrame | None, nu
 
     forest: within a block only pairs that would connect components not yet connected, a member's nearest first.
     """
-    named = groups.select("key", "f1").join(by_print, "f1")
+    named = groups.select("key", "f1").join(by_print.select("f1", "rep"), "f1")
     if labels is None:
         named = named.withColumn("comp", F.col("rep"))
     else:
         named = named.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep"))
-    named = stage(named.select("key", "rep", "n", "sketch", "comp"), "named")
+    named = stage(named.select("key", "f1", "rep", "comp"), "named")
     mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
     parts = mixed.select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
     work = named.join(parts, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    work = work.join(by_print.select("f1", "n", "sketch"), "f1")
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     work = work.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "n", "sketch", "comp")
     work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
