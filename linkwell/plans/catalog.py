@@ -13,7 +13,8 @@ from linkwell.operators import blocking, features, matching, scoring, tfidf
 from . import adapters as A
 from .sql import ORACLE_SQL  # noqa: F401
 
-FLOOR = 50  # occurrences from which a token is a stop word on these tables
+FLOOR = 50  # occurrences from which a token is a stop word in the SQL, and so in the queries that have SQL
+AS_SQL = {"share": 0, "floor": FLOOR}
 FLAGSHIP = "token_linked_records"
 
 
@@ -22,17 +23,17 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return A.source(rows, 1), A.source(rows, 2, 3)
 
 
-def _token_pairs(s1: DataFrame, ext: DataFrame) -> DataFrame:
-    """(s1, id, both, any) of pairs of one country that share a name token that is no stop word."""
-    pairs = blocking.token_candidates(s1, blocking.token_index(ext, share=0, floor=FLOOR))
+def _token_pairs(s1: DataFrame, ext: DataFrame, **limit) -> DataFrame:
+    """(s1, id, both, any) of pairs of one country that share a name token that is no stop word; without a limit, the operator's own."""
+    pairs = blocking.token_candidates(s1, blocking.token_index(ext, **limit))
     a = s1.select(F.col("entity_id").alias("s1"), F.col("name_tokens").alias("a"))
     b = ext.select(F.col("entity_id").alias("id"), F.col("name_tokens").alias("b"))
     joined = pairs.join(a, "s1").join(b, "id")
     return joined.select("s1", "id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("any"))
 
 
-def _linked(s1: DataFrame, ext: DataFrame) -> DataFrame:
-    return _token_pairs(s1, ext).filter(F.col("both") * 2 >= F.col("any")).select("s1", "id")
+def _linked(s1: DataFrame, ext: DataFrame, **limit) -> DataFrame:
+    return _token_pairs(s1, ext, **limit).filter(F.col("both") * 2 >= F.col("any")).select("s1", "id")
 
 
 def normalized_entities(spark, sf_dir):
@@ -42,7 +43,7 @@ def normalized_entities(spark, sf_dir):
 
 def token_linked_records(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return blocking.joined_lists(s1, _linked(s1, ext), "matched_entity_ids")
+    return blocking.joined_lists(s1, _linked(s1, ext, **AS_SQL), "matched_entity_ids")
 
 
 def stop_tokens(spark, sf_dir):
@@ -69,13 +70,13 @@ def phonetic_candidates(spark, sf_dir):
     return blocking.phonetic_candidates(s1, blocking.phonetic_index(ext), cap=60)
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, **limit):
     s1, ext = _sides(spark, sf_dir)
-    return s1, ext, _token_pairs(s1, ext).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") / F.col("any")).alias("score"))
+    return s1, ext, _token_pairs(s1, ext, **limit).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") / F.col("any")).alias("score"))
 
 
 def pair_features(spark, sf_dir):
-    s1, ext, pairs = _pairs(spark, sf_dir)
+    s1, ext, pairs = _pairs(spark, sf_dir, **AS_SQL)
     joined = features.join_pairs(pairs, s1, ext)
     own = features.name_features(joined) | features.address_features(joined)
     names = ["name_exact_raw", "name_exact_norm", "name_jaccard_tokens", "name_token_overlap_count", "address_exact_norm", "postal_available", "postal_exact_match"]
@@ -105,7 +106,7 @@ def name_tfidf_cosines(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
     everyone = A.normalized(spark, sf_dir)
     v = tfidf.weights(everyone, "name_norm", tfidf.word_terms, tfidf.idf(everyone, "name_norm", tfidf.word_terms, most=1 << 30))
-    pairs = _token_pairs(s1, ext)
+    pairs = _token_pairs(s1, ext, **AS_SQL)
     a = s1.select(F.col("entity_id").alias("s1"), F.col("name_norm").alias("ta"))
     b = ext.select(F.col("entity_id").alias("id"), F.col("name_norm").alias("tb"))
     rows = pairs.join(a, "s1").join(b, "id").join(v.toDF("ta", "va"), "ta", "left").join(v.toDF("tb", "vb"), "tb", "left")
@@ -136,7 +137,7 @@ def split_distribution(spark, sf_dir):
 
 def subset_violations(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return scoring.subset_violations(A.truth(spark, sf_dir), blocking.joined_lists(s1, _linked(s1, ext)))
+    return scoring.subset_violations(A.truth(spark, sf_dir), blocking.joined_lists(s1, _linked(s1, ext, **AS_SQL)))
 
 
 def output_validation(spark, sf_dir):
@@ -198,7 +199,7 @@ def stratified_sample(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    rows = _token_pairs(s1, ext).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") >= 3).cast("int").alias("is_exact_tier"))
+    rows = _token_pairs(s1, ext, **AS_SQL).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") >= 3).cast("int").alias("is_exact_tier"))
     return features.label_pairs(rows, A.truth(spark, sf_dir))
 
 
@@ -207,7 +208,7 @@ def training_sample(spark, sf_dir):
 
 
 def threshold_sweep(spark, sf_dir):
-    _, _, pairs = _pairs(spark, sf_dir)
+    _, _, pairs = _pairs(spark, sf_dir, **AS_SQL)
     return matching.sweep(pairs.withColumnRenamed("score", "match_probability"), A.truth(spark, sf_dir))
 
 
