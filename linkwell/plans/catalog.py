@@ -67,7 +67,7 @@ def postal_address_candidates(spark, sf_dir):
 
 def phonetic_candidates(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return blocking.phonetic_candidates(s1, blocking.phonetic_index(ext), cap=60)
+    return blocking.phonetic_candidates(s1, blocking.phonetic_index(ext))
 
 
 def _pairs(spark, sf_dir, **limit):
@@ -99,7 +99,7 @@ def full_features(spark, sf_dir):
 
 def candidate_lists(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return blocking.joined_lists(s1, blocking.candidates(s1, ext, k=50, floor=FLOOR))
+    return blocking.joined_lists(s1, blocking.candidates(s1, ext, k=50))
 
 
 def name_tfidf_cosines(spark, sf_dir):
@@ -222,7 +222,7 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def model_matches(spark, sf_dir):
     rows = _kept(features.label_pairs(full_features(spark, sf_dir), A.truth(spark, sf_dir)))
-    model = matching.train(matching.training_sample(rows), maxIter=10)
+    model = matching.train(matching.training_sample(rows), maxIter=300)
     return matching.assemble(matching.predict(model, rows))
 
 
