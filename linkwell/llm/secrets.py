@@ -5,7 +5,8 @@ of hex digits. The method adds spans of kind random: runs of RUN key characters
 Markov models of characters (each given the two before it), one of random strings and one of
 ordinary identifiers and words; the mean log-likelihood ratio per character decides. Both models
 are trained, with back-off to lower orders, on labelled samples: strings drawn from a seeded generator over
-the usual key alphabets, and identifiers joined from common words in the usual styles.
+the usual key alphabets, and identifiers joined from common words in the usual styles, long words, rules
+and dates.
 
 Cases: a null text counts as empty and has no spans; other columns pass through; repeated rows give
 repeated results; an empty table gives an empty result. Offsets are code points, ends exclusive.
@@ -30,7 +31,6 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 BACK = 8  # weight of the lower order against observed counts
 LEAST_RATIO = 1.8  # mean natural log-likelihood ratio per character from which a run counts as random
-LEAST_CLASSES = 3  # of lower-case, upper-case and digits: a run without all of them is left alone
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _AT = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0 stands for the place before the first character
 _N = len(ALPHABET) + 1
@@ -45,12 +45,20 @@ WORDS = (
     "length width height time date year month day hour minute second the and for with from this that into over"
 ).split()
 
+# fixed value: parts of long words in other languages
+PARTS = (
+    "donau dampf schiff fahrt gesellschaft versicherung recht schutz arbeit geschwindigkeit begrenzung kraft wagen haft pflicht bund land wirtschaft "
+    "freund schaft zeug haus tür schlüssel anti constitution nelle ment internation alis ation electro encefalo grafista mente miento dad respons "
+    "abilidad tele comunica ciones des oxy ribo nucle ic acid counter revolution ary hood ness able straße gegen stand ver ein ung heit keit lich"
+).replace("ü", "ue").replace("ß", "ss").split()
+
 
 def labelled_samples(seed: int = 20) -> tuple[list[str], list[str]]:
     """(random strings, ordinary identifiers) to learn from."""
     rng = random.Random(seed)
     lower, upper, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
     alphabets = [lower + upper + digits, ALPHABET, upper + digits, lower + digits]
+    more = [upper + "234567", digits + upper[:6], digits + lower[:6]]
     strings = ["".join(rng.choices(a, k=rng.randint(20, 60))) for a in alphabets for _ in range(1500)]
     plain = []
     for _ in range(6000):
@@ -65,6 +73,12 @@ def labelled_samples(seed: int = 20) -> tuple[list[str], list[str]]:
             5: "/".join(words),
         }[style]
         plain.append(text + (str(rng.randint(0, 2030)) if rng.random() < 0.25 else ""))
+    strings += ["".join(rng.choices(a, k=rng.randint(20, 60))) for a in more for _ in range(1500)]
+    for _ in range(2000):  # long words, rules of repeated marks, dates
+        word = "".join(rng.choices(PARTS, k=rng.randint(2, 5)))
+        mark = rng.choice([rng.choice(ALPHABET), "".join(rng.choices("+/_=-", k=2))])
+        date = "-".join(str(rng.randint(1, 99)).zfill(2) for _ in range(rng.randint(4, 9)))
+        plain += [rng.choice([word, word.capitalize(), word.upper()]), mark * rng.randint(10, 40), rng.choice("-=_+/") * rng.randint(20, 60), date]
     return strings, plain
 
 
@@ -107,10 +121,6 @@ def randomness(text: str, table: list) -> float:
     return total / max(1, len(text))
 
 
-def _classes(text: str) -> int:
-    return sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-
-
 def scan(text: str, table: list) -> list[tuple[str, int, int, str, float]]:
     """(kind, start, end, secret, score) of a text, by start, then kind as in KINDS."""
     found = []
@@ -123,8 +133,6 @@ def scan(text: str, table: list) -> list[tuple[str, int, int, str, float]]:
     taken = sorted((s, e) for _, s, e, _, _ in found)
     for m in _RUN.finditer(text):
         run = m[0]
-        if _classes(run) < LEAST_CLASSES:
-            continue
         score = randomness(run, table)
         if score >= LEAST_RATIO and not any(s < m.end() and m.start() < e for s, e in taken):
             found.append(("random", m.start(), m.end(), run, score))

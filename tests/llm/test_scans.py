@@ -97,6 +97,16 @@ def test_random_strings_against_identifiers():
     assert [(k, text[s:e]) for k, s, e, _, _ in secrets.scan(text, table)] == [("random", "kJ8sQ2mZpX7vLw3nRt9bYc4D")]
 
 
+def test_scan_finds_keys_of_every_alphabet():
+    rng, table = random.Random(9), secrets.ratio_table()
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (low + up + digits, secrets.ALPHABET, up + digits, low + digits, up + "234567", digits + "ABCDEF", low, up):
+        keys = ["".join(rng.choices(alphabet, k=32)) for _ in range(100)]
+        assert np.mean([("random", 3, 35) in [f[:3] for f in secrets.scan(f"is {k} .", table)] for k in keys]) > 0.9
+    for plain in ("-" * 40, "=" * 40, "+-" * 20, "Donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION_STRING", "2024-01-01-12-30-45-00"):
+        assert secrets.scan(plain, table) == []
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
