@@ -24,7 +24,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 IP_GOOD = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])\.){3}0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
+IBAN_REST = (11, 30)  # characters after the head
 TEL = r"(?<![0-9+])(?<![0-9][ ().-])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}(?![0-9])"
 BLOCK = 256
 # fixed values: words whose presence shortly before a span makes it likelier
@@ -102,18 +103,34 @@ def _valid(kind: str, span: Column) -> Column:
         return luhn(_digits(span))
     if kind == "phone":
         return F.length(_digits(span)).between(8, 15)
-    if kind == "iban":
-        plain = F.regexp_replace(span, " ", "")
-        return F.length(plain).between(15, 34) & mod97(plain)
     if kind == "tel":
         return F.length(_digits(span)).between(7, 15)
     return F.lit(True)
 
 
-_PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "tel": TEL}
+_PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN_HEAD, "tel": TEL}
 _SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 
 
+def _longest_iban(window: Column) -> Column:
+    """The longest valid IBAN a text begins with that ends on a word bound; empty if none."""
+    ends = F.array(*(F.regexp_extract(window, rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])", 0) for n in range(IBAN_REST[1], IBAN_REST[0] - 1, -1)))
+    good = F.filter(ends, lambda e: F.when(e != "", mod97(F.regexp_replace(e, " ", ""))).otherwise(F.lit(False)))
+    return F.coalesce(F.get(good, F.lit(0)), F.lit(""))
+
+
+def _ibans(text: Column, heads: Column) -> Column:
+    """heads drawn out to whole IBANs; those without one, and those inside the IBAN before, are left out."""
+    whole = F.transform(heads, lambda h: h.withField("text", _longest_iban(F.substring(text, h["start"] + 1, F.lit(4 + 2 * IBAN_REST[1] + 1)))))
+    found = F.transform(F.filter(whole, lambda h: h["text"] != ""), lambda h: h.withField("end", h["start"] + F.length(h["text"])))
+    none = F.array().cast(_SPAN)
+
+    def step(kept: Column, h: Column) -> Column:
+        return F.when(h["start"] >= F.coalesce(F.try_element_at(F.transform(kept, lambda k: k["end"]), F.lit(-1)), F.lit(0)), F.concat(kept, F.array(h))).otherwise(kept)
+
+    return F.when(F.size(found) > 1, F.aggregate(found, none, step)).otherwise(found)
+
+
 def _spans(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind, in order."""
     pattern = _PATTERN[kind]
@@ -132,7 +149,7 @@ def _spans(kind: str, text: Column) -> Column:
         return _let(steps, lambda x: _let(_before(x), lambda starts: located(hit, gaps, starts)))
 
     found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hit: _let(F.split(text, pattern, -1), lambda gaps: placed(hit, gaps)))
-    good = F.filter(found, lambda s: _valid(kind, s["text"]))
+    good = _ibans(text, found) if kind == "iban" else F.filter(found, lambda s: _valid(kind, s["text"]))
     if kind not in BASE_KINDS:
         good = F.filter(good, lambda s: s["score"] >= LEAST_SCORE)
     return F.when(text.rlike(pattern), good).otherwise(F.array().cast(_SPAN))

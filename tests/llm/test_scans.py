@@ -154,6 +154,16 @@ def test_pii_added_kinds_and_masking(spark):
     assert pii.masked(frame).columns == frame.columns and pii.masked(frame.limit(0)).count() == 0
 
 
+def test_iban_followed_by_capitals_and_digits(spark):
+    a, b = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"IBAN {a} BIC COBADEFFXXX", "DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000 2024", f"{a} {b} X", "DE87370400440532013000 2024", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["text"], r["text"][s["start"] : s["end"]]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find_pii(frame).collect()}
+    plain = "DE89370400440532013000"
+    assert found == {i: [(x, x) for x in want] for i, want in enumerate([[a], [plain], [plain], [a, b], [], []])}
+    assert {r["doc_id"]: r["text"] for r in pii.masked(frame).collect()}[0] == "IBAN [IBAN] BIC COBADEFFXXX"
+
+
 def minimum_cut(unary, edges):
     best = None
     for code in range(1 << len(unary)):
