@@ -31,10 +31,11 @@ _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s
 _NAMING = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # fixed values: element names by what HTML says of them
-_RAW = frozenset("script style noscript template title textarea iframe svg math xmp noembed noframes object".split())
+_RAW = frozenset("script style noscript template title textarea iframe svg noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mtable mtr mtd semantics annotation".split()
 )
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("article section main body div ul ol table td th aside nav header footer form blockquote figure dl".split())
@@ -95,10 +96,10 @@ def blocks(page: str) -> list[tuple[str, float, float, int]]:
         del stack[index:]
         said = next((s for _, s, _ in reversed(stack) if s), 0.0)
 
-    def put(raw: str) -> None:
+    def put(raw: str, plain: bool = False) -> None:
         nonlocal linked
         if raw:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = html.unescape(raw) if "&" in raw and not plain else raw
             parts.append(text)
             if in_link:
                 linked += len(text)
@@ -114,9 +115,18 @@ def blocks(page: str) -> list[tuple[str, float, float, int]]:
         if not tag:
             continue
         tag = tag.lower()
+        if not closing and tag in ("svg", "math") and attrs.rstrip().endswith("/"):
+            continue
+        if not closing and tag == "xmp":
+            stop = re.compile(r"</xmp(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            flush()
+            put(page[at : stop.start() if stop else end], plain=True)
+            flush()
+            at = stop.end() if stop else end
+            continue
         if not closing and tag in _RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = stop.end() if stop else end
+            at = stop.end() if stop else at if tag == "svg" else end
             continue
         if tag == "br":
             parts.append(" ")

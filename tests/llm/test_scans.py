@@ -196,6 +196,12 @@ def test_main_text():
     assert html_text.main_text("<article>" + "<div>" * 3000 + "Deep text here, it is.") == "Deep text here, it is."
 
 
+def test_icons_formulas_and_plain_text_are_read():
+    page = "<article><p>An icon <svg width='1'/> here and <math/> there, it goes on.</p><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is seen, as is <object>this one</object>.</p><xmp><b>a &amp; b</b> stay.</xmp><p>Last <svg><path/> words of it.</p></article>"
+    assert html_text.main_text(page) == "An icon here and there, it goes on. The sum x+1 is seen, as is this one. <b>a &amp; b</b> stay. Last words of it."
+    assert html_text.main_text("<article><p>Before it. <svg><title>no</title></svg> After it.</p></article>") == "Before it. After it."
+
+
 def test_extract_cases(spark):
     frame = spark.createDataFrame([(1, None, "u"), (2, PAGE, None), (None, "", "u"), (2, PAGE, None)], "page_id long, html string, text string")
     got = html_text.extract(frame).collect()
