@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps.
+
+A vertex with more than a HOT-th of all edge ends is joined by broadcast, so its edges stay where
+they are read and never meet in one task; fewer than HOT vertices can have so many.
+"""
 
 from __future__ import annotations
 
@@ -7,43 +11,49 @@ from pyspark.sql import functions as F
 
 from .common import stage, unstage
 
+HOT = 1000
+FEW = 100  # edge ends of a vertex that any task can take
+
 
 def _mark(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, ends: int) -> DataFrame:
+    """pairs (u, v) with m, the least v of each u. ends: rows of pairs, at most."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = F.col("n") > max(FEW, ends // HOT)
+    crowded = F.broadcast(least.filter(hot).select("u", "m"))
+    rest = pairs.join(crowded.select("u"), "u", "left_anti").join(least.filter(~hot).select("u", "m"), "u")
+    return rest.union(pairs.join(crowded, "u"))
+
+
+def _star(edges: DataFrame, count: int) -> DataFrame:
     """One large-star then one small-star; edges (u, v) have u > v and come out the same way."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.union(low.select("u", F.col("m").alias("v"))).distinct()
+    large = _with_least(both, 2 * count).withColumn("m", F.least("m", "u")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    small = _with_least(large, 2 * count).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+    return small.distinct()
 
 
-def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component_id) of every id that has a link; component_id is the least id reachable.
 
     Each round is written to the shared folder, so lineage stays short; nothing but a count and a
-    checksum of the edges reaches the driver.
+    checksum of the edges reaches the driver. Every round lowers an edge's end, so rounds end by themselves.
     """
     edges = stage(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges"
     )
     mark = _mark(edges)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
-        new = stage(_star(edges), "edges")
+    while mark[0]:
+        new = stage(_star(edges, mark[0]), "edges")
         seen = _mark(new)
         unstage(edges)
         edges = new
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not converge")
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(
         roots.select("id", F.col("id").alias("component_id"))

@@ -3,23 +3,25 @@
 Each text's set of k-word shingles is hashed; every shingle flips one bit of a parity sketch, so the
 Hamming distance of two sketches is never more than the symmetric difference of their sets. A
 Jaccard similarity of num/den or more bounds that difference by (den - num) / (den + num) of the
-two sizes' sum. Within a size band the bound is one number D, and a sketch cut into D + 1 segments
-must agree in one segment at least: equal segments are the join key (pigeonhole). Some spare segments
-let those with one shingle or none be left out; a text with more of them posts them all. Candidates then
-pass the Hamming bound on a short whole sketch, and last an exact comparison of the sets.
-
-A text that is equal to another as a set shares its class, so copies never form pairs. In a group
-of texts with an equal segment the pairs with the group's hub are tested first. Groups whose members
-are not all connected by that are dealt into blocks of comparisons, in which sketches are compared
-and only near pairs between different components are emitted: first, from an eighth of the groups
-and then from all, no more pairs of a block than would connect it, nearest first; then, once those
-that link are merged, all that remain. No pair within one component is emitted and no link between
-components is lost.
+two sizes' sum. Within a size band the largest bound is one number D, and a sketch cut into D + 1
+segments must agree in one segment at least: equal segments are the join key (pigeonhole). A text
+whose own bound is smaller agrees with its partners in more segments than one and leaves out the
+poorest ones, so segments with few shingles, which unlike texts share by chance, are rarely keys.
+
+A text that is equal to another as a set shares its class, so copies never form pairs. The texts
+that share a key are a group. Within a group whole sketches and sizes are compared, and of the pairs
+that pass only as many are emitted as connect their members; these are verified on the sets. Where
+verified links leave the members of such a cluster in several components, sets of different
+components are compared in blocks, and only verified links that connect are emitted. A pair that
+links passes every test on the way, so no link between components is lost, and no step emits more
+pairs than connect its members. Groups and clusters above a size are dealt into blocks: members that
+are connected already (to the group's hub, or in the largest component) meet the others, never each
+other.
 
 Cases: a null or wordless text has the empty set, n_shingles 0 and links with nothing; a text with
 fewer than k words has one shingle, the whole sequence; rows with the same id are one node; a null
 id gives a null component_id and takes no part; extra columns are ignored; an empty table gives an
-empty result.
+empty result; a text of any length is one set.
 """
 
 from __future__ import annotations
@@ -28,16 +30,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, release, runs, stage, unstage, utf8
+from .common import byte_slices, runs, stage, unstage, utf8
 from .components import components
 from .textkit import U, lower_ascii, mix, shingle_hashes, word_bounds, word_hashes
 
-GROWTH = 1.6  # of the size bands
-LOW = 2  # shingles from which a segment is a key; texts agree in more segments than can be low
-CHUNK = 256  # members of a group that one side of a block of comparisons holds
+GROWTH = 2  # of the size bands
+CHUNK = 2048  # members of a group that one side of a block of sketch comparisons holds
+WEIGHT = 1 << 18  # shingles that one side of a block of set comparisons holds
 
 
 class Bands:
@@ -50,12 +52,8 @@ class Bands:
             tops.append(max(math.ceil(tops[-1] * GROWTH), tops[-1] + 6))
         self.tops = np.array(tops, np.int64)
         self.diff = np.array([2 * t * (den - num) // (den + num) for t in tops[1:]], np.int64)
-        # segments that may be low: with one shingle or none, which unlike texts share by chance
-        mean = 0.45 * (den + num) / (den - num)  # shingles of a segment, about
-        low = math.exp(-mean) * (1 + mean)
-        self.spare = 2 + np.ceil(1.3 * low * self.diff).astype(np.int64)
-        self.segments = np.where(self.diff > 0, self.diff + 1 + self.spare, 0)
-        self.width = np.array([1 << max(6, int(4 * (d + 1) - 1).bit_length()) for d in self.diff], object)
+        self.segments = np.where(self.diff > 0, self.diff + 1, 0)
+        self.width = np.array([1 << max(6, int(16 * (d + 1)).bit_length() - 1) for d in self.diff], object)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.tops, n) - 1
@@ -64,6 +62,11 @@ class Bands:
         """Whether a set of n may link with one of the next band."""
         return self.den * n >= self.num * (self.tops[self.of(n) + 1] + 1)
 
+    def left_out(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Segments that a set of n need not post in a band: one less than it shares with any partner there."""
+        largest = np.minimum(n * self.den // self.num, self.tops[band + 1])
+        return self.segments[band] - 1 - (n + largest) * (self.den - self.num) // (self.den + self.num)
+
 
 def _sets(column: pa.Array, k: int):
     """Distinct sorted shingle hashes of each text, as (values, first index of each text)."""
@@ -90,7 +93,11 @@ def _prints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _segment_keys(hashes, owner, first, bands: Bands):
-    """(text, key) for every segment of every text, in its own band and where it may link in the next."""
+    """(text, key) of the segments that each text posts, in its own band and where it may link in the next.
+
+    The ones left out are the least in an order by content: number of shingles, then key. Of the
+    segments that two linked texts share, the greatest has so many shared ones below it that neither leaves it out.
+    """
     n = np.diff(first)
     own = np.maximum(bands.of(n), 0)
     texts, keys = [], []
@@ -105,14 +112,15 @@ def _segment_keys(hashes, owner, first, bands: Bands):
         at = base[owner[hold]] + ((place[hold] * segments[owner[hold]]) >> 32)
         acc = np.zeros(int(base[-1]), U)
         np.bitwise_xor.at(acc, at, value[hold])
-        full = np.bincount(at, minlength=len(acc)) >= LOW
+        count = np.bincount(at, minlength=len(acc))
         text = np.repeat(np.arange(len(n)), segments)
         index = np.arange(len(acc)) - base[text]
-        lows = np.bincount(text[~full], minlength=len(n))
-        emit = full | (lows > bands.spare[band])[text]  # more low ones than spares: they count as well
-        salt = mix((band[text].astype(U) << U(40)) + index.astype(U) + U(1))
+        key = mix(acc ^ mix((band[text].astype(U) << U(40)) + index.astype(U) + U(1)))
+        rank = np.empty(len(acc), np.int64)
+        rank[np.lexsort((key, count, text))] = np.arange(len(acc))
+        emit = rank - base[text] >= bands.left_out(n, band)[text]
         texts.append(text[emit])
-        keys.append(mix(acc[emit] ^ salt[emit]))
+        keys.append(key[emit])
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(texts), np.concatenate(keys).view(np.int64)
@@ -124,21 +132,6 @@ def _sketch(hashes: np.ndarray, width: int) -> bytes:
     return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _hamming(a: bytes, b: bytes) -> int:
-    """Between two sketches whose widths are powers of two; the wider one is folded by XOR."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, size = int.from_bytes(a, "little"), len(a)
-    while size > len(b):
-        size //= 2
-        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
-    return (x ^ int.from_bytes(b, "little")).bit_count()
-
-
-def _links(inter: int, a: int, b: int, num: int, den: int) -> bool:
-    return den * inter >= num * (a + b - inter)
-
-
 def _signatures(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -188,29 +181,155 @@ def _hashed_sets(docs: DataFrame, k: int) -> DataFrame:
                 one, two = _prints(hashes, first)
                 sets = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(one), pa.array(two), pa.array(sets, pa.binary())], ["id", "f1", "f2", "shingles"]
+                    [part.column(0), pa.array(one), pa.array(two), pa.array(np.diff(first)), pa.array(sets, pa.binary())], ["id", "f1", "f2", "n", "shingles"]
                 )
 
-    return docs.mapInArrow(run, "id bigint, f1 bigint, f2 bigint, shingles binary")
+    return docs.mapInArrow(run, "id bigint, f1 bigint, f2 bigint, n bigint, shingles binary")
+
+
+def _near(n: np.ndarray, rows: np.ndarray, r: int, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of members `at` those whose sizes and sketches allow a link with member r, and the sketches' distances."""
+    at = at[den * np.minimum(n[at], n[r]) >= num * np.maximum(n[at], n[r])]
+    far = np.bitwise_count(rows[at] ^ rows[r]).sum(axis=1, dtype=np.int64)
+    hold = far <= (n[at] + n[r]) * (den - num) // (den + num)
+    return at[hold], far[hold]
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch folded by XOR to size bytes, as words."""
+    x = np.frombuffer(sketch, U)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _partners(block: dict, label: np.ndarray, r: int) -> np.ndarray:
+    """Members after r that r is to be compared with in this block and that are not yet connected to it."""
+    ok = label[r + 1 :] != label[r]
+    if block["kind"][0]:  # one side holds main members, the other side the rest
+        ok &= block["main"][r + 1 :] != block["main"][r]
+    elif block["i"][0] != block["j"][0]:  # two chunks of the rest; pairs within a chunk belong to its own block
+        ok &= block["part"][r + 1 :] != block["part"][r]
+    return np.flatnonzero(ok) + r + 1
+
+
+def _forest(label: np.ndarray, found) -> list[tuple[int, int]]:
+    """Pairs that connect a block's members; found(r, label) gives the members linked with r, nearest first."""
+    out = []
+    for r in range(len(label) - 1):
+        at = found(r, label)
+        if len(at):
+            roots, first = np.unique(label[at], return_index=True)
+            out += [(r, int(x)) for x in at[first]]
+            label[np.isin(label, roots)] = label[r]
+    return out
+
+
+def _near_block(block: dict, num: int, den: int) -> list[tuple[int, int]]:
+    n, sketches = block["n"], block["payload"]
+    size = min(map(len, sketches))
+    rows = np.stack([_folded(x, size) for x in sketches])
+
+    def found(r: int, label: np.ndarray) -> np.ndarray:
+        at, far = _near(n, rows, r, _partners(block, label, r), num, den)
+        return at[np.argsort(far, kind="stable")]
+
+    return _forest(np.where(block["main"], -1, np.arange(len(n))), found)
 
 
-def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of (a, b, na, nb, sa, sb) those whose sizes and sketches allow a link."""
+def _link_block(block: dict, num: int, den: int) -> list[tuple[int, int]]:
+    n = block["n"]
+    sets = [np.frombuffer(x, U) for x in block["payload"]]
+    shared, items = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    mark = np.zeros(len(shared), bool)
+
+    def found(r: int, label: np.ndarray) -> np.ndarray:
+        at = _partners(block, label, r)
+        at = at[den * np.minimum(n[at], n[r]) >= num * np.maximum(n[at], n[r])]
+        if not len(at):
+            return at
+        own = items[first[r] : first[r + 1]]
+        mark[own] = True
+        if 4 * len(at) < len(n):
+            inter = np.array([mark[items[first[x] : first[x + 1]]].sum() for x in at])
+        else:
+            inter = np.add.reduceat(mark[items], first[:-1], dtype=np.int64)[at]
+        mark[own] = False
+        return at[den * inter >= num * (n[at] + n[r] - inter)]
+
+    return _forest(np.unique(block["comp"], return_inverse=True)[1], found)
+
+
+BLOCK = "key bigint, kind boolean, i int, j int, part int, id bigint, main boolean, n bigint, comp bigint, payload binary"
+
+
+def _compared(blocks: DataFrame, kernel, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs that kernel gives for each block; blocks has the columns of BLOCK."""
+    names = [c.split()[0] for c in BLOCK.split(", ")]
+    blocks = blocks.select(*names).repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "id")
+
+    def run(batches):
+        for table, bounds in runs(batches, ("key", "kind", "i", "j")):
+            out = []
+            columns = {c: np.asarray(table.column(c)) for c in names[1:-1]}
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                if e - s > 1:
+                    block = {c: x[s:e] for c, x in columns.items()}
+                    block["payload"] = [x.as_py() for x in table.column("payload").slice(s, e - s)]
+                    out += [(int(block["id"][a]), int(block["id"][b])) for a, b in kernel(block, num, den)]
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a bigint, b bigint").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _dealt(rows: DataFrame, weight: Column, most: int) -> DataFrame:
+    """rows (key, id, main, ...) dealt into blocks of comparisons: of main members with the rest, and of the rest among itself.
+
+    Main members are connected already and are not compared with each other. A side of a block holds
+    chunks of a weight of about `most`.
+    """
+    share = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, weight)), F.lit(0)) / most).cast("int")
+    parts = stage(rows.groupBy("key").agg(share(F.col("main")).alias("mains"), share(~F.col("main")).alias("others")).filter("others > 0"), "parts")
+    rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    part = F.col("part")
+    across = F.transform(up_to("others"), lambda o: place(True, part, o))
+    back = F.transform(up_to("mains"), lambda m: place(True, m, part))
+    among = F.transform(up_to("others"), lambda o: place(False, F.least(part, o), F.greatest(part, o)))
+    return rows.withColumn("at", F.explode(F.when(F.col("main"), across).otherwise(F.concat(back, among)))).select("*", "at.kind", "at.i", "at.j").drop("at")
+
+
+def _near_pairs(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of one group whose sizes and sketches allow a link, as many as connect all such members of the group."""
+    groups = _unlike(members)
+    rows = groups.join(classes.select("f1", F.col("rep").alias("id"), "n", F.col("sketch").alias("payload")), "f1")
+    rows = stage(rows.select("key", "id", "n", "payload", "size", (F.col("f1") == F.col("hub")).alias("is_hub"), F.lit(0).cast("bigint").alias("comp")), "groups")
+    alone = {"kind": F.lit(False), "i": F.lit(0), "j": F.lit(0), "part": F.lit(0), "main": F.lit(False)}
+    small = _compared(rows.filter(F.col("size") <= CHUNK).withColumns(alone), _near_block, num, den)
+    large = rows.filter(F.col("size") > CHUNK)
+    if large.isEmpty():
+        return small
+    hubs = stage(large.filter("is_hub").select("key", F.col("id").alias("hub_id"), F.col("n").alias("hub_n"), F.col("payload").alias("hub_payload")), "hubs")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for na, nb, sa, sb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                low, high = min(na, nb), max(na, nb)
-                keep.append(den * low >= num * high and _hamming(sa, sb) <= (na + nb) * (den - num) // (den + num))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            kept = []
+            for n, mine, hub_n, hub in zip(*(batch.column(c).to_pylist() for c in ("n", "payload", "hub_n", "hub_payload")), strict=True):
+                sketches = [_folded(x, min(len(mine), len(hub))) for x in (mine, hub)]
+                kept.append(bool(len(_near(np.array([n, hub_n]), np.stack(sketches), 1, np.array([0]), num, den)[0])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "hub_id", "n", "comp", "payload")), pa.array(kept, pa.bool_())], ["key", "id", "hub_id", "n", "comp", "payload", "main"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    tested = large.join(hubs, "key").mapInArrow(run, "key bigint, id bigint, hub_id bigint, n bigint, comp bigint, payload binary, main boolean")
+    tested = stage(tested, "tested")
+    star = tested.filter("main and id <> hub_id").select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
+    return small.union(star).union(_compared(_dealt(tested, F.lit(1), CHUNK), _near_block, num, den)).distinct()
 
 
-def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of (a, b, sets of both) the pairs that link."""
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of (a, b) the pairs that link."""
 
     def run(batches):
         for batch in batches:
@@ -218,152 +337,87 @@ def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
                 inter = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(_links(inter, len(x), len(y), num, den))
+                keep.append(den * inter >= num * (len(x) + len(y) - inter))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _sets_of(docs: DataFrame, near: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(id, n, shingles) of the classes that stand in near, read again from the texts concerned."""
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = _hashed_sets(docs.join(wanted, "id", "left_semi"), k)
+    whole = sets.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["id", "f1", "f2"], "left_semi")
+    return stage(whole.dropDuplicates(["id", "f1", "f2"]).select("id", "n", "shingles"), "sets")
+
+
+def _across(comp: DataFrame, clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of one cluster and different components, as many as connect them.
+
+    comp: (id, comp) of every member; clusters: (comp, key).
+    """
+    weight = sets.groupBy("id").agg(F.sum("n").alias("weight"))
+    rows = stage(comp.join(clusters, "comp").join(weight, "id").select("key", "id", "comp", "weight"), "clusters")
+    each = rows.groupBy("key", "comp").agg(F.sum("weight").alias("weight"))
+    best = stage(each.groupBy("key").agg(F.max(F.struct("weight", "comp"))["comp"].alias("best")), "best")
+    rows = rows.join(best, "key").withColumn("main", F.col("comp") == F.col("best")).drop("best")
+    blocks = _dealt(rows, F.col("weight"), WEIGHT).join(sets.withColumnRenamed("shingles", "payload"), "id")
+    return _compared(blocks, _link_block, num, den)
+
+
+def _labels(near: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, component_id) of every class that stands in near: verified links, then links across the components they leave."""
+    sets = _sets_of(docs, near, classes, k)
+    links = stage(_verified(near, sets, num, den), "links")
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    comp = stage(ids.join(components(links, "a", "b"), "id", "left").select("id", F.coalesce("component_id", "id").alias("comp")), "comp")
+    side = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"))
+    joined = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter("comp_a <> comp_b").select("comp_a", "comp_b").distinct()
+    loose = stage(joined(near), "loose")
+    if not loose.isEmpty():
+        clusters = components(loose, "comp_a", "comp_b").select(F.col("id").alias("comp"), F.col("component_id").alias("key"))
+        more = stage(_across(comp, clusters, sets, num, den), "more")
+        if not more.isEmpty():
+            merged = components(joined(more), "comp_a", "comp_b").select(F.col("id").alias("comp"), "component_id")
+            comp = stage(comp.join(merged, "comp", "left").select("id", F.coalesce("component_id", "comp").alias("comp")), "comp")
+    for used in (sets, links):
+        unstage(used)
+    return comp.select("id", F.col("comp").alias("component_id"))
+
+
+def _unlike(members: DataFrame) -> DataFrame:
+    """(key, f1) with size and hub, its group's number of members and least one; of groups with the same members one remains."""
+    size = members.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum(F.xxhash64("f1").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "f1").cast("decimal(20,0)")).alias("s2"), F.min("f1").alias("hub")
+    )
+    one = size.groupBy("size", "s1", "s2").agg(F.min("key").alias("key"), F.first("hub").alias("hub"))
+    return members.join(stage(one.select("key", "hub", "size"), "unlike"), "key").select("key", "f1", "hub", "size")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of docs; texts link at a Jaccard similarity of num/den."""
     bands = Bands(num, den)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stage(_signatures(docs, k, bands), "signed")
     known = docs.filter("id is not null and text is not null")
+    signed = stage(_signatures(docs, k, bands), "signed")
     classes = stage(
         signed.filter("id is not null and n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes"
     )
     postings = _postings(known, k, bands)
     shared = postings.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low < high")
     members = stage(postings.join(shared.select("key"), "key").distinct(), "members")
-    groups = stage(_unlike(members), "groups")
+    near = stage(_near_pairs(members, classes, num, den), "near")
     unstage(members)
-    release(docs.sparkSession)
-
-    by_print = classes.select("f1", "rep", "n", "sketch")
-    side = lambda x: by_print.toDF(f"f{x}", x, f"n{x}", f"s{x}")
-    tried = links = labels = None
-    for step in ("hub", "some", "all", "rest"):
-        if step == "hub":
-            pairs = groups.filter("hub <> f1").select(F.col("hub").alias("fa"), F.col("f1").alias("fb")).distinct()
-            near = _near(pairs.join(side("a"), "fa").join(side("b"), "fb").select("a", "b", "na", "nb", "sa", "sb"), num, den)
-        else:
-            some = groups.filter(F.pmod(F.xxhash64("key"), F.lit(8)) == 0) if step == "some" else groups
-            near = _across(some, by_print, labels, num, den, step != "rest")
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-        near = stage(near, "near")
-        release(docs.sparkSession)
-        if step == "all" and near.isEmpty():
-            break  # no near pair between components is left
-        if tried is not None:
-            near = stage(near.join(tried, ["a", "b"], "left_anti"), "near")
-        if near.isEmpty():
-            continue
-        found = stage(_exact(docs, near, classes, k, num, den), "links")
-        tried = near if tried is None else stage(tried.union(near), "tried")
-        links = found if links is None else stage(links.union(found), "links")
-        labels = stage(components(links, "a", "b"), "labels")
-
     out = signed.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
-    if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    else:
+    if near.isEmpty():
         out = out.withColumn("component_id", F.lit(None).cast("bigint"))
+    else:
+        labels = _labels(near, known, classes, k, num, den)
+        out = out.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("rep")), "id")).alias("component_id"),
     )
-
-
-def _exact(docs: DataFrame, near: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs of near whose sets, read again from the texts concerned, link."""
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = _hashed_sets(docs.join(wanted, "id", "left_semi"), k)
-    sets = stage(sets.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["id", "f1", "f2"], "left_semi").select("id", "f1", "shingles").dropDuplicates(["id", "f1"]), "sets")
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
-    both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    return _verified(both, num, den).distinct()
-
-
-def _unlike(members: DataFrame) -> DataFrame:
-    """(key, f1) with hub, its group's least member; of groups with the same members one remains."""
-    size = members.groupBy("key").agg(
-        F.count("*").alias("size"), F.sum(F.xxhash64("f1").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "f1").cast("decimal(20,0)")).alias("s2"), F.min("f1").alias("hub")
-    )
-    one = size.groupBy("size", "s1", "s2").agg(F.min("key").alias("key"), F.first("hub").alias("hub"))
-    return members.join(one.select("key", "hub"), "key").select("key", "f1", "hub")
-
-
-def _across(groups: DataFrame, by_print: DataFrame, labels: DataFrame | None, num: int, den: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of one group and different components whose sizes and sketches allow a link.
-
-    forest: within a block only pairs that would connect components not yet connected, a member's nearest first.
-    """
-    named = groups.select("key", "f1").join(by_print.select("f1", "rep"), "f1")
-    if labels is None:
-        named = named.withColumn("comp", F.col("rep"))
-    else:
-        named = named.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep"))
-    named = stage(named.select("key", "f1", "rep", "comp"), "named")
-    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
-    parts = mixed.select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
-    work = named.join(parts, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    work = work.join(by_print.select("f1", "n", "sketch"), "f1")
-    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    work = work.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "n", "sketch", "comp")
-    work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-
-    def run(batches):
-        for table, bounds in runs(batches, ("key", "i", "j")):
-            out = []
-            i, j, chunk, rep, n, comp = (np.asarray(table.column(c)) for c in ("i", "j", "chunk", "rep", "n", "comp"))
-            sketches = table.column("sketch").to_pylist()
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                if e - s > 1:
-                    out += _block(i[s] != j[s], chunk[s:e], rep[s:e], n[s:e], comp[s:e], sketches[s:e], num, den, forest)
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return work.mapInArrow(run, "a bigint, b bigint")
-
-
-def _block(two: bool, chunk, rep, n, comp, sketches, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
-    size = min(map(len, sketches))
-    rows = np.stack([_folded(x, size) for x in sketches])
-    out, parent = [], {c: c for c in comp.tolist()}
-
-    def find(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    for r in range(len(rep) - 1):
-        rest = slice(r + 1, None)
-        ok = (comp[rest] != comp[r]) & (den * np.minimum(n[rest], n[r]) >= num * np.maximum(n[rest], n[r]))
-        if two:
-            ok &= chunk[rest] != chunk[r]  # pairs within a chunk belong to its own block
-        at = np.flatnonzero(ok) + r + 1
-        if not len(at):
-            continue
-        far = np.bitwise_count(rows[at] ^ rows[r]).sum(axis=1, dtype=np.int64)
-        hold = far <= (n[at] + n[r]) * (den - num) // (den + num)
-        at, far = at[hold], far[hold]
-        for x in at[np.lexsort((rep[at], far))]:
-            if forest:
-                a, b = find(int(comp[r])), find(int(comp[x]))
-                if a == b:
-                    continue
-                parent[a] = b
-            out.append((int(rep[r]), int(rep[x])))
-    return out
-
-
-def _folded(sketch: bytes, size: int) -> np.ndarray:
-    """A sketch folded by XOR to size bytes, as words."""
-    x = np.frombuffer(sketch, U)
-    while 8 * len(x) > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x

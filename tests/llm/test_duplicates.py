@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from linkwell.llm import jaccard_join, lattice
+from linkwell.llm import jaccard_join, lattice, queries
 from linkwell.llm.components import components
 
 
@@ -75,8 +76,56 @@ def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(4)
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(2))
-        far = jaccard_join._hamming(jaccard_join._sketch(a, 64 << int(rng.integers(0, 4))), jaccard_join._sketch(b, 64 << int(rng.integers(0, 4))))
-        assert far <= len(np.setxor1d(a, b))
+        sketches = [jaccard_join._sketch(x, 64 << int(rng.integers(0, 4))) for x in (a, b)]
+        x, y = (jaccard_join._folded(s, min(map(len, sketches))) for s in sketches)
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize(("num", "k"), [(80, 5), (85, 4), (60, 3)])
+def test_linked_texts_post_a_common_segment(num, k):
+    bands = jaccard_join.Bands(num, 100)
+    texts = near_copies(num)
+    hashes, owner, first = jaccard_join._sets(pa.array(texts, pa.string()), k)
+    text, keys = jaccard_join._segment_keys(hashes, owner, first, bands)
+    posted = [set(keys[text == i].tolist()) for i in range(len(texts))]
+    sets = [set(hashes[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    seen = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and a != b and 100 * len(a & b) >= num * len(a | b):
+                assert posted[i] & posted[j]
+                seen += 1
+    assert seen > 10
+
+
+def test_large_groups_and_clusters_in_blocks(spark, monkeypatch):
+    """One crowd of copies with edits, most of whose pairs stay below the threshold, in blocks of a few members."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    monkeypatch.setattr(jaccard_join, "WEIGHT", 300)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    sets = [shingles(t, 5) for t in texts]
+    links = [(b, a) for a in range(90) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame).collect()}
+    want = roots(range(90), links)
+    assert 3 < len(set(want.values())) < 80 and got == want
+
+
+def test_op7_query(spark, tmp_path):
+    texts = near_copies(6, 8)
+    spark.createDataFrame([(i + 10, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i + 10: shingles(t, 4) for i, t in enumerate(texts)}
+    links = [(b, a) for a in sets for b in sets if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = roots(list(sets), links)
+    rows = queries.QUERIES["op7_jaccard_join"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
 def test_components(spark):
