@@ -84,7 +84,7 @@ def test_sketch_distance_is_a_lower_bound():
 @pytest.mark.parametrize(("num", "k"), [(80, 5), (85, 4), (60, 3)])
 def test_linked_texts_post_a_common_segment(num, k):
     bands = jaccard_join.Bands(num, 100)
-    texts = near_copies(num)
+    texts = near_copies(num, 60)
     hashes, owner, first = jaccard_join._sets(pa.array(texts, pa.string()), k)
     text, keys = jaccard_join._segment_keys(hashes, owner, first, bands)
     posted = [set(keys[text == i].tolist()) for i in range(len(texts))]
