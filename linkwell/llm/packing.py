@@ -11,7 +11,8 @@ a sequence is padded to the capacity except at a power of two.
 The pool's size bounds the memory, not the result: every id lies in exactly one piece. Sequence ids
 come from the task's number and a counter, so a task that is run again gives the same rows.
 
-Cases: a null or empty text is the end id alone; repeated rows are packed each; a null id stays
+Cases: a null or empty text is the end id alone; a text of any length is cut into pieces, and only
+its unplaced rest waits; of examples with equal dot products the one in the lowest slot goes first; repeated rows are packed each; a null id stays
 null; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -37,8 +38,8 @@ class Packer:
     def __init__(self, tokens: int = 2048, segments: int = 256, loss: int = 2048, pool: int = POOL, first_sequence: int = 0):
         self.limits = np.array([tokens, segments, loss], float)
         self.most, self.pool, self.next = pool, pool, first_sequence
-        self.examples: list = [None] * pool  # (key, ids, loss, cumulated loss)
-        self.at = np.zeros(pool, np.int64)  # ids of each example that are placed already
+        self.examples: list = [None] * pool  # (key, ids that wait, their cumulated loss, ids before them, ids of the example)
+        self.at = np.zeros(pool, np.int64)  # waiting ids of each example that are placed already
         self.need = np.zeros((pool, 3))
         self.free = list(range(pool))
         self.closed: list = []
@@ -49,7 +50,7 @@ class Packer:
 
     def add(self, key, ids: np.ndarray, loss: np.ndarray) -> None:
         cum = np.concatenate(([0], np.cumsum(loss)))
-        example, begin = (key, ids, cum), 0
+        example, begin = (key, ids, cum, 0, len(ids)), 0
         size, loss_size = int(self.limits[0]), self.limits[2]
         while len(ids) - begin >= size and cum[begin + size] - cum[begin] <= loss_size:  # whole sequences
             self._close([(example, begin, size, cum[begin + size] - cum[begin])])
@@ -59,7 +60,7 @@ class Packer:
         while not self.free:
             self._step()
         slot = self.free.pop()
-        self.examples[slot], self.at[slot] = example, begin
+        self.examples[slot], self.at[slot] = (key, ids[begin:].copy(), cum[begin:] - cum[begin], begin, len(ids)), 0
         self.need[slot] = (len(ids) - begin, 1, cum[-1] - cum[begin])
 
     def _step(self) -> None:
@@ -72,7 +73,7 @@ class Packer:
             self._place(slot, int(self.need[slot, 0]))
         elif live.any() and self.left[0] >= 1 and self.left[1] >= 1:
             slot = int(np.where(live, self.need[:, 0], -1.0).argmax())
-            _, ids, cum = self.examples[slot]
+            ids, cum = self.examples[slot][1:3]
             begin = int(self.at[slot])
             room = min(int(self.left[0]), int(np.searchsorted(cum, cum[begin] + self.left[2], side="right")) - 1 - begin)
             if room > 0:
@@ -120,8 +121,8 @@ class Packer:
 
     def _close(self, pieces: list) -> None:
         offset = 0
-        for (key, ids, _), begin, length, loss in pieces:
-            self.closed.append((key, begin, length, ids[begin : begin + length].tobytes(), len(ids), int(loss), self.next, offset))
+        for (key, ids, _, before, total), begin, length, loss in pieces:
+            self.closed.append((key, before + begin, length, ids[begin : begin + length].tobytes(), total, int(loss), self.next, offset))
             offset += length
         self.next += 1
 

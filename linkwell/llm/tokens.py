@@ -2,7 +2,8 @@
 
 The vocabulary comes from the tokenizer's own file; its merges are ranked by id, so tiktoken's
 faster merge loop gives the same ids (asserted on probes and by the tests). Texts that hold a
-special token's string go to the tokenizer itself.
+special token's string, or on which the faster loop gives up (a run of blanks of many hundred
+thousand characters), go to the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -42,4 +43,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of a text."""
         if self.special is not None and self.special.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        except ValueError:  # its pattern matcher ran out of room
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
