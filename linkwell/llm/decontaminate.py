@@ -8,11 +8,13 @@ share of the item's words that are marked is its coverage. As tiles may lie in a
 that was reordered is covered like one that was not; from COVERAGE on the item counts as leaked.
 
 The seeds of the test items travel to the executors with the task, which is bounded: items are
-dealt into blocks of at most BLOCK_CHARS characters, and each block makes one pass over all
-documents. One block is the rule; a larger benchmark takes more passes, not more memory.
+dealt into blocks of about BLOCK_CHARS characters, and each block makes one pass over all
+documents. One block is the rule; a larger benchmark takes more passes, each written before the
+next block is read, so the driver holds one block at a time.
 
 Cases: a null or wordless text or item matches nothing; an item of fewer words than LEAST is a seed
-as a whole; repeated rows are compared each; extra columns are ignored; an empty table gives an
+as a whole; a seed that an item repeats is kept once, with its places; texts of any length are read
+whole; repeated rows are compared each; extra columns are ignored; an empty table gives an
 empty result; equally long tiles are marked in order of their place in the item, then the text.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, utf8
+from .common import byte_slices, stage, unstage, utf8
 from .textkit import U, shingle_hashes, word_bounds, word_hashes
 
 LEAST = 5
@@ -61,6 +63,19 @@ def _windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray
     return (sums[at + size] - sums[at]) * back[at], at  # as if each window began at place 0
 
 
+def _run(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, i: int, t: int) -> int:
+    """Number of equal free words from place i of the item and place t of the text on, compared in growing steps."""
+    n, step, most = 0, 16, min(len(item) - i, len(text) - t)
+    while n < most:
+        m = min(step, most - n)
+        x, y = slice(i + n, i + n + m), slice(t + n, t + n + m)
+        same = (item[x] == text[y]) & free_i[x] & free_t[y]
+        if not same.all():
+            return n + int(same.argmin())
+        n, step = n + m, 2 * step
+    return n
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in text, length) of the tiles, in the order of marking."""
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
@@ -74,12 +89,11 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[i
         found: dict[int, list[tuple[int, int]]] = {}
         for k in np.flatnonzero(high > low):
             i = int(places_i[k])
-            for t in places_t[order[low[k] : high[k]]].tolist():
-                if i and t and free_i[i - 1] and free_t[t - 1] and item[i - 1] == text[t - 1]:
-                    continue  # not the beginning of its run
-                n = 0
-                while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
-                    n += 1
+            at = places_t[order[low[k] : high[k]]]
+            if i and free_i[i - 1]:  # only where a run begins
+                at = at[(at == 0) | ~free_t[at - 1] | (text[at - 1] != item[i - 1])]
+            for t in at.tolist():
+                n = _run(item, text, free_i, free_t, i, t)
                 if n >= size:
                     found.setdefault(n, []).append((i, t))
         longest = max(found, default=0)
@@ -111,7 +125,7 @@ class Block:
     ids: np.ndarray
     words: np.ndarray
     first: np.ndarray
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: sorted hashes, items, places
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length: sorted hashes and items without repeats, first place of each (n + 1), places
 
     @staticmethod
     def of(rows: list[tuple[int, str]], least: int) -> Block:
@@ -127,14 +141,16 @@ class Block:
                 item.append(np.full(len(h), d))
                 place.append(np.arange(len(h)))
             h, d, p = (np.concatenate(x) for x in (hashes, item, place))
-            order = np.argsort(h, kind="stable")
-            seeds[size] = (h[order], d[order], p[order])
+            order = np.lexsort((p, d, h))
+            h, d, p = h[order], d[order], p[order]
+            begin = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
+            seeds[size] = (h[begin], d[begin], np.append(begin, len(h)), p)
         return Block(np.array([i for i, _ in rows], np.int64), words, first, seeds)
 
     def hits(self, words: np.ndarray, first: np.ndarray):
-        """(text, item, place in the text's words, place in the item, length) of every seed that texts and items share."""
+        """(text, item, place in the text's words, number of the item's seed, length) of every seed that texts and items share."""
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for size, (hashes, item, place) in self.seeds.items():
+        for size, (hashes, item, _, _) in self.seeds.items():
             if len(words) < size:
                 continue
             some = np.zeros(1 << _BITS, bool)
@@ -145,25 +161,27 @@ class Block:
             n = high - low
             pick = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
             where = np.repeat(at, n)
-            yield doc[where], item[pick], where, place[pick], size
+            yield doc[where], item[pick], where, pick, size
 
     def compare(self, column: pa.Array, least: int, coverage: float):
         """(text, item id, coverage, tiles, longest tile) of every leaked item of every text."""
         words, first = _words(column)
-        for docs, items, where, place, size in self.hits(words, first):
+        for docs, items, where, seed, size in self.hits(words, first):
             if not len(docs):
                 continue
             pair = docs.astype(np.int64) * len(self.ids) + items
             order = np.lexsort((where, pair))
-            pair, where, place = pair[order], where[order], place[order]
+            pair, where, seed = pair[order], where[order], seed[order]
+            begin, places = self.seeds[size][2:]
             bounds = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 d, i = divmod(int(pair[a]), len(self.ids))
                 item = self.words[self.first[i] : self.first[i + 1]]
                 need = math.ceil(coverage * len(item) - 1e-9)
                 covered = np.zeros(len(item) + 1, np.int64)
-                np.add.at(covered, place[a:b], 1)
-                np.add.at(covered, np.minimum(place[a:b] + size, len(item)), -1)
+                place = np.concatenate([places[begin[x] : begin[x + 1]] for x in np.unique(seed[a:b])])
+                np.add.at(covered, place, 1)
+                np.add.at(covered, np.minimum(place + size, len(item)), -1)
                 if (np.cumsum(covered[:-1]) > 0).sum() < need:  # the tiles cannot cover more than the seeds
                     continue
                 # only words within shared seeds can be in a tile; between runs of them a word stands that no item has
@@ -177,15 +195,13 @@ class Block:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The test items, collected block by block, each of a bounded size."""
+    """(whether it is the last, test items) of each block; a block is collected when it is asked for."""
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, math.ceil(1.5 * total / BLOCK_CHARS)) if total > BLOCK_CHARS else 1
     for part in range(parts):
         some = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        found = sorted((r["id"], r["text"]) for r in some.collect())
-        if found:
-            yield found
+        yield part == parts - 1, sorted((r["id"], r["text"]) for r in some.collect())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
@@ -193,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"`{id_col}` bigint, `{item_col}` bigint, coverage double, n_tiles bigint, longest_tile bigint"
     out = None
-    for rows in _blocks(benchmark, item_col, item_text_col):
+    for last, rows in _blocks(benchmark, item_col, item_text_col):
 
         def run(batches, block=Block.of(rows, least)):
             for batch in batches:
@@ -208,14 +224,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     )
 
         found = texts.mapInArrow(run, schema)
+        found = found if last else stage(found, "leaks")
         out = found if out is None else out.union(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """docs without the documents that contain an item of the benchmark; rows are dropped where they are read."""
-    at, schema = docs.columns.index(text_col), docs.schema
-    for rows in _blocks(benchmark, item_col, item_text_col):
+    at, schema, before = docs.columns.index(text_col), docs.schema, None
+    for last, rows in _blocks(benchmark, item_col, item_text_col):
 
         def run(batches, block=Block.of(rows, least)):
             for batch in batches:
@@ -226,4 +243,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, schema)
+        if not last:
+            docs = stage(docs, "clean")
+            if before is not None:
+                unstage(before)
+            before = docs
     return docs
