@@ -11,8 +11,9 @@ member's number of links and the least member of its connected part of the block
 several cells is counted in the first of them. No cell is capped: a large one is more blocks.
 
 Cases: a vector that is null, empty, zero or holds null or non-finite parts, or whose label is null,
-links with nothing; vectors of different lengths are not compared; equal rows are separate vectors
-that link; rows with one id are one node of the components; a null id gives a null component; extra columns are ignored; an empty table gives an
+links with nothing; labels may be of any type; vectors of different lengths are not compared, those
+of any finite size are; equal rows are separate vectors that link; rows with one id are one node of
+the components; a null id gives a null component; extra columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -76,11 +77,17 @@ def _maps(dims: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(maps, axis=1), rng.integers(1, 1 << 62, size=(8,)).astype(U) * U(2) + U(1)
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by their largest part first, so that no square overflows or vanishes."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 def cells(vectors: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Keys of each vector's cells, (vectors, TABLES, PROBES)."""
     n, dims = vectors.shape
     maps, multipliers = _maps(dims)
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = _unit(vectors)
     points = (unit @ maps).reshape(n, TABLES, BLOCKS, 8)
     keys = np.empty((n, TABLES, PROBES), U)
     head = mix(labels.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + U(dims))
@@ -146,7 +153,7 @@ def _compared(members: DataFrame, least: float) -> DataFrame:
     """(cls, links, root) from rows of blocks of work that arrive sorted by block."""
 
     def block(key: int, i: int, j: int, chunk, ids, size, vectors, keys):
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = _unit(vectors)
         linked = unit @ unit.T >= least
         np.fill_diagonal(linked, False)
         if i != j:
@@ -211,7 +218,8 @@ def _with_cells(classes: DataFrame) -> DataFrame:
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row."""
     vector = F.col(vector_col).cast("array<double>")
-    rows = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), vector.alias("embedding"))
+    label = F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))  # of any type; equal labels have equal hashes
+    rows = rows.select(F.col(id_col).cast("bigint").alias("id"), label.alias("label"), vector.alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
     rows = rows.withColumn("f1", F.when(usable, F.xxhash64("label", "embedding"))).withColumn("f2", F.when(usable, F.xxhash64(F.lit(1), "embedding", "label")))
