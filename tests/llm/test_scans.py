@@ -6,9 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from linkwell.llm import decontaminate, html_text, op04_secrets, op06_pii, packing, pii, secrets
+from linkwell.llm import decontaminate, html_text, op04_secrets, op06_pii, packing, pii, secrets, tokens
 from linkwell.llm.op09_packing import tokenizer_path
 
 
@@ -59,6 +60,13 @@ def test_leaks(spark, monkeypatch):
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0 and decontaminate.leaks(frame.limit(0), bench).count() == 0
 
 
+def test_leaks_of_repeated_words():
+    """An item and a text of one word each cost their lengths, not the product."""
+    block = decontaminate.Block.of([(1, "la " * 3000), (2, "na " * 40 + "batman")], 5)
+    found = list(block.compare(pa.array(["la " * 60_000, "na " * 30_000, "la " * 1000]), 5, 0.6))
+    assert [(d, i) for d, i, *_ in found] == [(0, 1), (1, 2)] and found[0][2] == 1.0
+
+
 SECRET = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII),
     "access": re.compile("AKIA[A-Z0-9]+"),
@@ -240,6 +248,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame.limit(0), tokenizer_path()).count() == 0
 
 
+def test_long_blanks_and_words_are_encoded():
+    encode = tokens.Encoder(tokenizer_path())
+    for text in (" " * 600_000, "a" + " " * 700_000 + "b", "x" * 300_000):
+        assert encode(text).tolist() == encode.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packer_keeps_only_what_waits():
+    packer = packing.Packer(tokens=64, pool=8)
+    packer.add(1, np.arange(64 * 500 + 3, dtype="<u4"), np.ones(64 * 500 + 3, np.int64))
+    assert max(len(e[1]) for e in packer.examples if e) == 3
+    packer.end()
+    rows = sorted(packer.taken(), key=lambda r: r[1])
+    assert [r[1] for r in rows][-2:] == [64 * 500, 64 * 500 + 2] and {r[4] for r in rows} == {64 * 500 + 3}
+
+
 def test_packer_limits():
     packer = packing.Packer(tokens=64, segments=3, loss=20, pool=8)
     rng = random.Random(7)
