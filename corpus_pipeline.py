@@ -25,7 +25,7 @@ from linkwell.llm import decontaminate, jaccard_join, langid, packing, pii
 from linkwell.llm.common import stage, table
 from linkwell.llm.op09_packing import tokenizer_path
 
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_OVER_CHANCE = 1.2  # a language's least score, as a multiple of 1 / number of languages
 
 
 def _unused(docs: DataFrame, name: str) -> str:
@@ -40,7 +40,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     lang, score = _unused(docs, "__lang"), _unused(docs, "__score")
     told = langid.predict(docs, net, out=(lang, score))
-    return told.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    least = min(1.0, LEAST_OVER_CHANCE / len(net.langs))
+    return told.filter((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

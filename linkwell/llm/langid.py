@@ -2,13 +2,15 @@
 
 The network reads every byte of a text, left to right and right to left within windows, and labels
 each letter position with a distribution over the languages; a document's distribution is the mean
-over its positions. A window is a word (cut into runs of WINDOW bytes where longer) between two
-space marks, so equal words have equal labels and each distinct word of a batch is read once. The
-weights are trained in numpy by backpropagation through time on a bounded, documented sample.
+over its positions. A window is a word (cut at character borders into runs of about WINDOW bytes
+where longer) between two space marks, so equal words have equal labels and each distinct word of a
+batch is read once; no state crosses a blank. The weights are trained in numpy by backpropagation
+through time on all windows of a bounded sample of labelled documents (SAMPLE_DOCS of each language).
 
 Cases: a text that is null, empty or without any letter is "und" with score 0; if there are no
 labelled rows, no language is known and every row is "und" with score 0; ties go to the language
-that sorts first; extra columns are ignored; an empty table gives an empty result.
+that sorts first; texts of any length are read whole; repeated rows are scored alike and taught from
+as often as the sample holds them; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +25,9 @@ from pyspark.sql import functions as F
 from .common import byte_slices, filled, utf8
 from .textkit import word_bounds, word_hashes
 
-WINDOW = 30  # bytes of a word that are read together
+WINDOW = 30  # bytes of a word that are read together, or up to three fewer or more at a character border
 HIDDEN = 16  # units in each direction
-SAMPLE_DOCS = 4000  # expected labelled documents to learn from, at most
-SAMPLE_WORDS = 60  # windows taken from each of them, spread evenly over the whole text
+SAMPLE_DOCS = 1000  # expected labelled documents of each language to learn from, at most
 STEPS, BATCH, RATE = 600, 512, 0.01
 _LETTER = np.zeros(256, np.float32)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
@@ -110,18 +111,23 @@ class Net:
             g |= {f"x{d}": gx, f"u{d}": gu, f"b{d}": gb}
         return g
 
-    def fit(self, groups: dict[int, tuple[np.ndarray, np.ndarray]], seed: int = 11) -> Net:
-        """Adam over batches of one length; groups: length -> (rows of bytes, language index). Languages are drawn evenly."""
+    def fit(self, groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int = 11) -> Net:
+        """Adam over batches of one length; groups: length -> (rows of bytes, language index, occurrences). Languages are drawn evenly, rows by occurrence."""
         rng = np.random.default_rng(seed)
         sizes = sorted(groups)
-        share = np.array([len(groups[s][1]) * s for s in sizes], float)
+        share = np.array([groups[s][2].sum() * s for s in sizes], float)
         share /= share.sum()
-        by_lang = {s: [np.flatnonzero(groups[s][1] == i) for i in range(len(self.langs))] for s in sizes}
+        pools = {}
+        for s in sizes:
+            for i in range(len(self.langs)):
+                at = np.flatnonzero(groups[s][1] == i)
+                if len(at):
+                    pools.setdefault(s, []).append((at, np.cumsum(groups[s][2][at], dtype=float)))
         m, v = ({k: np.zeros_like(x) for k, x in self.weights.items()} for _ in range(2))
         for step in range(1, STEPS + 1):
             s = sizes[rng.choice(len(sizes), p=share)]
-            pools = [x for x in by_lang[s] if len(x)]
-            rows = np.concatenate([rng.choice(x, BATCH // len(pools) + 1) for x in pools])
+            each = BATCH // len(pools[s]) + 1
+            rows = np.concatenate([at[np.searchsorted(upto, rng.random(each) * upto[-1], side="right")] for at, upto in pools[s]])
             g = self.gradients(groups[s][0][rows], groups[s][1][rows])
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             rate = RATE * (1 - step / (STEPS + 1))
@@ -133,13 +139,17 @@ class Net:
         return self
 
 
-def _windows(starts: np.ndarray, ends: np.ndarray):
-    """Words cut into windows: starts, ends, and each word's first window (n + 1 entries)."""
+def _windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Starts and ends of the windows of words; a cut within a character moves back to its first byte."""
     parts = (ends - starts + WINDOW - 1) // WINDOW
     first = np.concatenate(([0], np.cumsum(parts)))
     step = np.arange(first[-1]) - np.repeat(first[:-1], parts)
     s = np.repeat(starts, parts) + step * WINDOW
-    return s, np.minimum(s + WINDOW, np.repeat(ends, parts)), first
+    for _ in range(3):
+        s -= (step > 0) & (buf[s] & 0xC0 == 0x80)
+    e = np.append(s[1:], 0)
+    e[first[1:] - 1] = ends
+    return s, e
 
 
 def _rows(buf: np.ndarray, s: np.ndarray, size: int) -> np.ndarray:
@@ -155,7 +165,7 @@ def pooled(net: Net, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sums, counts = np.zeros((n, langs)), np.zeros(n)
     buf, off = utf8(column)
     starts, ends, first = word_bounds(buf, off)
-    s, e, _ = _windows(starts, ends)
+    s, e = _windows(buf, starts, ends)
     _, firsts, inverse = np.unique(word_hashes(buf, s, e), return_index=True, return_inverse=True)
     us, ue = s[firsts], e[firsts]
     got, weight = np.zeros((len(us), langs), np.float32), np.zeros(len(us), np.float32)
@@ -179,43 +189,50 @@ def pooled(net: Net, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return sums, counts
 
 
-def train(rows: list[tuple[str, list[bytes]]]) -> Net:
-    """A net from (language, windows of one document) rows."""
-    langs = sorted({lang for lang, _ in rows})
+def train(rows: list[tuple[str, bytes, int]]) -> Net:
+    """A net from (language, window, occurrences) rows."""
+    langs = sorted({lang for lang, _, _ in rows})
+    number = {lang: i for i, lang in enumerate(langs)}
     net = Net.fresh(langs)
-    by_size: dict[int, tuple[list, list]] = {}
-    for lang, words in rows:
-        for word in words:
-            if any(b > 127 or chr(b).isalpha() for b in word):
-                xs, ys = by_size.setdefault(len(word), ([], []))
-                xs.append(b" " + word + b" ")
-                ys.append(langs.index(lang))
-    groups = {k: (np.frombuffer(b"".join(x), np.uint8).reshape(-1, k + 2), np.array(y)) for k, (x, y) in by_size.items()}
+    by_size: dict[int, tuple[list, list, list]] = {}
+    for lang, word, count in rows:
+        if any(b > 127 or chr(b).isalpha() for b in word):
+            xs, ys, ns = by_size.setdefault(len(word), ([], [], []))
+            xs.append(b" " + word + b" ")
+            ys.append(number[lang])
+            ns.append(count)
+    groups = {k: (np.frombuffer(b"".join(x), np.uint8).reshape(-1, k + 2), np.array(y), np.array(n)) for k, (x, y, n) in by_size.items()}
     return net.fit(groups) if groups and len(langs) > 1 else net
 
 
-def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[bytes]]]:
-    """About SAMPLE_DOCS labelled documents, chosen by a hash of the id, as evenly spread windows of their whole texts."""
-    labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = labelled.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    at = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    chosen = labelled.filter(at < int(share * (1 << 30)) if share < 1 else F.lit(True)).select(at.alias("at"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes, int]]:
+    """(language, window, occurrences) of the whole texts of about SAMPLE_DOCS labelled documents of each language.
+
+    Documents are chosen by a hash of id and text, and their windows are counted on the executors, so
+    the driver receives each distinct window of the bounded sample once.
+    """
+    labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    share = F.lit(float(SAMPLE_DOCS)) / F.count("*")
+    shares = {r["lang"]: r["share"] for r in labelled.groupBy("lang").agg(share.alias("share")).collect()}
+    if not shares:
+        return []
+    most = F.create_map(*(F.lit(x) for lang, part in shares.items() for x in (lang, int(min(1.0, part) * (1 << 30)))))
+    chosen = labelled.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.element_at(most, F.col("lang"))).select("lang", "text")
 
     def run(batches):
         for batch in batches:
-            for a, n in byte_slices(batch.column(2)):
+            for a, n in byte_slices(batch.column(1)):
                 part = batch.slice(a, n)
-                buf, off = utf8(part.column(2))
-                starts, ends, first = word_bounds(buf, off)
-                words = []
-                for i, j in zip(first[:-1], first[1:], strict=True):
-                    pick = np.unique(np.linspace(i, j - 1, min(SAMPLE_WORDS, j - i)).astype(int)) if j > i else []
-                    words.append([buf[starts[p] : min(ends[p], starts[p] + WINDOW)].tobytes() for p in pick])
-                yield pa.RecordBatch.from_arrays([part.column(0), filled(part.column(1)), pa.array(words, pa.list_(pa.binary()))], ["at", "lang", "words"])
-
-    rows = chosen.mapInArrow(run, "at bigint, lang string, words array<binary>").limit(2 * SAMPLE_DOCS).collect()
-    return sorted((r["lang"], [bytes(w) for w in r["words"]]) for r in rows)
+                buf, off = utf8(part.column(1))
+                starts, ends, _ = word_bounds(buf, off)
+                s, e = _windows(buf, starts, ends)
+                langs = filled(part.column(0)).to_pylist()
+                doc = np.searchsorted(off, s, side="right") - 1
+                words = [buf[x:y].tobytes() for x, y in zip(s, e, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in doc], pa.string()), pa.array(words, pa.binary())], ["lang", "word"])
+
+    counts = chosen.mapInArrow(run, "lang string, word binary").groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
+    return sorted(zip(counts["lang"].to_pylist(), counts["word"].to_pylist(), counts["n"].to_pylist(), strict=True))
 
 
 def predict(docs: DataFrame, net: Net, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -1,12 +1,13 @@
 """Classifiers and language ID: training, held-out results and odd rows."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from linkwell.llm import langid, subword
+from linkwell.llm import langid, queries, subword
 
 ODD = "doc_id long, text string, lang string, score string, lang_pred string"
 
@@ -26,7 +27,7 @@ FR = "le les des une dans pour avec sont cette mais comme faire nous autre aussi
 
 
 def test_language_held_out():
-    rows = [(lang, [w.encode() for w in t.split()]) for lang, words in (("en", EN), ("fr", FR)) for t in _texts(1, words, 60)]
+    rows = [(lang, w.encode(), 1) for lang, words in (("en", EN), ("fr", FR)) for t in _texts(1, words, 60) for w in t.split()]
     net = langid.train(rows)
     column = pa.array(_texts(2, EN, 20) + _texts(3, FR, 20) + ["", None, "42 --"])
     sums, counts = langid.pooled(net, column)
@@ -57,7 +58,7 @@ def test_gradient_matches_differences():
 
 
 def test_language_odd_rows(spark):
-    net = langid.train([("en", [w.encode() for w in EN]), ("fr", [w.encode() for w in FR])])
+    net = langid.train([(lang, w.encode(), 1) for lang, words in (("en", EN), ("fr", FR)) for w in words])
     rows = langid.predict(odd_rows(spark), net).collect()
     assert len(rows) == 6
     assert [r["lang_pred"] for r in rows[:3]] == ["und"] * 3 and [r["score"] for r in rows[:3]] == [0.0] * 3
@@ -68,6 +69,20 @@ def test_language_odd_rows(spark):
     assert [r[0] for r in unknown] == ["und"]
 
 
+def test_language_of_split_letters_and_query(spark, tmp_path):
+    """A letter on the border of two windows still is one, and only texts without a letter are und."""
+    rng = random.Random(4)
+    texts = [(" ".join(rng.choices(words, k=30)), lang) for words, lang in ((EN, "en"), (FR, "fr")) for _ in range(60)]
+    odd = ["1" * 29 + "é", "1" * 28 + "日", "1" * 29 + "🙂", "12 34", "", None, "-" * 59 + "ß" * 40]
+    rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([*texts, *((t, None) for t in odd)])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_language_id"](spark, str(tmp_path)).collect()}
+    assert [got[120 + i]["lang_pred"] == "und" for i in range(7)] == [False, False, True, True, True, True, False]
+    held = [r for i, r in got.items() if i < 120 and r["held_out"]]
+    assert len(held) > 10 and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    assert all(r["lang_pred"] == texts[r["doc_id"]][1] for r in held)
+
+
 def _toxic(seed, n):
     rng = random.Random(seed)
     texts, labels = [], []
