@@ -2,7 +2,8 @@
 
 Subword-bag embeddings averaged into a linear softmax (see subword.py), on lower-cased words, so a
 misspelt word shares character n-gram vectors with the one it stands for. Cases: a null or empty
-text gets the constant's score; without labels every score is 0.5; extra columns are ignored.
+text gets the constant's score; without labels every score is 0.5; texts of any length are read whole;
+repeated rows are scored alike; a score of exactly 0.5 is predicted 1; extra columns are ignored.
 """
 
 from __future__ import annotations

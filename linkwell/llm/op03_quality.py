@@ -2,7 +2,8 @@
 
 Learned hashed word, word-pair and character n-gram vectors averaged per document (see subword.py),
 case kept, since junk shows in capitals and signs. Cases: a null or empty text gets the constant's
-score; without labels every score is 0.5; extra columns are ignored.
+score; without labels every score is 0.5; texts of any length are read whole; repeated rows are
+scored alike; a score of exactly 0.5 is predicted 1; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ it gives the probability of label 1. Table and softmax are trained together by s
 descent in numpy. After training a feature acts only through one number, the difference its vector
 makes to the two logits, so scoring carries one float per row of the table.
 
-Training sees a bounded sample of the labelled rows (SAMPLE_DOCS documents of each label, at most
-SAMPLE_RUNS runs of RUN_WORDS words spread evenly over each whole text); scoring reads every byte.
+Training sees the whole texts of a bounded sample of the labelled rows (SAMPLE_DOCS documents of each
+label); scoring reads every byte. A word longer than LONGEST bytes gives n-grams window by window.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, utf8
+from .common import byte_slices, filled, utf8
 from .textkit import U, lower_ascii, mix, word_bounds, word_hashes
 
-SAMPLE_DOCS = 2000
-SAMPLE_RUNS, RUN_WORDS = 24, 50
+SAMPLE_DOCS = 2000  # expected labelled documents of each label to learn from, at most
 LONGEST = 60  # bytes of a word between whose n-grams none is left out; a longer word is cut into windows
 
 
@@ -207,34 +206,18 @@ def train(texts: pa.Array, labels: np.ndarray, shape: Shape, seed: int = 5) -> M
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels of about SAMPLE_DOCS documents of each label 0 and 1, chosen by a hash of the id.
+    """Whole texts and labels of about SAMPLE_DOCS documents of each label 0 and 1, chosen by a hash of the id.
 
     marks: (id_col, label). The choice is made before texts are read; the chosen ids, at most
-    4 * SAMPLE_DOCS rows of two numbers, are what is broadcast.
+    4 * SAMPLE_DOCS rows of two numbers, are what is broadcast. Where rows repeat, the first by hash and text count.
     """
     totals = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
     at = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     most = [min(1 << 30, int((1 << 30) * SAMPLE_DOCS / max(1, totals.get(k, 0)))) for k in (0, 1)]
-    ids = marks.filter(at < F.when(F.col("label") == 1, most[1]).otherwise(most[0])).limit(4 * SAMPLE_DOCS)
-    chosen = docs.join(F.broadcast(ids), id_col).select("label", F.col(text_col).alias("text"))
-
-    def run(batches):
-        for batch in batches:
-            for a, n in byte_slices(batch.column(1)):
-                part = batch.slice(a, n)
-                buf, off = utf8(part.column(1))
-                starts, ends, first = word_bounds(buf, off)
-                texts = []
-                for i, j in zip(first[:-1], first[1:], strict=True):
-                    if j - i <= SAMPLE_RUNS * RUN_WORDS:
-                        pick = np.arange(i, j)
-                    else:
-                        pick = (np.linspace(i, j - RUN_WORDS, SAMPLE_RUNS).astype(int)[:, None] + np.arange(RUN_WORDS)).ravel()
-                    texts.append(b" ".join(buf[starts[p] : min(ends[p], starts[p] + LONGEST)].tobytes() for p in pick).decode("utf-8", "ignore"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["label", "text"])
-
-    rows = sorted((r["label"], r["text"]) for r in chosen.mapInArrow(run, "label int, text string").limit(8 * SAMPLE_DOCS).collect())
-    return pa.array([t for _, t in rows], pa.string()), np.array([x for x, _ in rows], np.int64)
+    ids = marks.filter(at < F.when(F.col("label") == 1, most[1]).otherwise(most[0])).orderBy(at, id_col, "label").limit(4 * SAMPLE_DOCS)
+    chosen = docs.join(F.broadcast(ids), id_col).select("label", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = chosen.orderBy(F.xxhash64("text"), "text", "label").limit(8 * SAMPLE_DOCS).toArrow().sort_by([("label", "ascending"), ("text", "ascending")])
+    return filled(rows["text"]), np.asarray(rows["label"]).astype(np.int64)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
