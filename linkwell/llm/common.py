@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 
@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (local runs and
-    tests) is a temporary folder made and registered.
+    The cluster names it in spark.checkpoint.dir. Only a local run, whose driver and executors are one
+    process, may leave it unset and gets a temporary folder; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="linkwell-")
     sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
@@ -46,6 +48,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 _registered: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a finished write drops its shuffle files at once
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -57,7 +60,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         atexit.register(_drop, spark, root)
     path = f"{root}/{label}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -69,12 +77,6 @@ def unstage(df: DataFrame) -> None:
             _drop(spark, folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver's cleaner drop the shuffle files of finished steps now, not at its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
