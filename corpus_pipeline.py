@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.llm import decontaminate, jaccard_join, langid, packing, pii
-from linkwell.llm.common import stage, table
+from linkwell.llm.common import maybe_among, stage, table
 from linkwell.llm.op09_packing import tokenizer_path
 
 LEAST_OVER_CHANCE = 1.2  # a language's least score, as a multiple of 1 / number of languages
@@ -46,16 +46,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_components(docs, k=5, num=80, den=100)
-    kept = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
-    kept = stage(kept, "kept")
-    once = docs.join(kept.filter("__rows = 1"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    out = once.union(docs.filter("doc_id is null"))
-    again = kept.filter("__rows > 1")
+    each = groups.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__kept"), F.count("*").alias("__rows"))
+    touched = stage(each.filter("not __kept or __rows > 1").select("__id", "__kept"), "touched")
+    maybe = _unused(docs, "__maybe")
+    asked = maybe_among(docs, "doc_id", touched.select("__id"), maybe)
+    sure, rest = asked.filter(~F.col(maybe)).select(*docs.columns), asked.filter(maybe).select(*docs.columns)
+    out = sure.union(rest.join(touched, F.col("doc_id") == F.col("__id"), "left_anti"))
+    again = touched.filter("__kept")
     if again.isEmpty():
         return out
     place = _unused(docs, "__place")
-    rest = docs.join(again, F.col("doc_id") == F.col("__kept"), "left_semi")
-    first = rest.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1)
+    repeated = rest.join(again, F.col("doc_id") == F.col("__id"), "left_semi")
+    first = repeated.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1)
     return out.union(first.select(*docs.columns))
 
 

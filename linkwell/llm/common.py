@@ -77,6 +77,24 @@ def unstage(df: DataFrame) -> None:
             _drop(spark, folder)
 
 
+WORDS = 1 << 18  # 64-bit words of a membership filter
+
+
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame, out: str) -> DataFrame:
+    """rows with out, false only where key surely is none of ids (of one column).
+
+    A Bloom filter with one bit for each id, as a table of at most WORDS rows: its broadcast has that
+    bound. With many more ids than bits it lets every row pass, so an exact join must follow.
+    """
+    (column,) = ids.columns
+    code = lambda c: F.xxhash64(F.lit("among"), F.col(c).cast("bigint"))
+    word, bit = (lambda c: F.pmod(code(c), F.lit(WORDS))), (lambda c: F.pmod(F.shiftrightunsigned(code(c), 32), F.lit(64)).cast("int"))
+    hold = [f"{out}_{n}" for n in ("word", "bit", "bits")]
+    marks = ids.select(word(column).alias(hold[0]), bit(column).alias(hold[1])).groupBy(hold[0]).agg(F.expr(f"bit_or(shiftleft(1L, {hold[1]}))").alias(hold[2]))
+    rows = rows.withColumns({hold[0]: word(key), hold[1]: bit(key)}).join(F.broadcast(marks), hold[0], "left")
+    return rows.withColumn(out, F.coalesce(F.expr(f"shiftrightunsigned({hold[2]}, {hold[1]}) & 1L") == 1, F.lit(False))).drop(*hold)
+
+
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, runs, stage, unstage, utf8
+from .common import byte_slices, maybe_among, runs, stage, unstage, utf8
 from .components import components
 from .textkit import U, lower_ascii, mix, shingle_hashes, word_bounds, word_hashes
 
@@ -348,7 +348,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def _sets_of(docs: DataFrame, near: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(id, n, shingles) of the classes that stand in near, read again from the texts concerned."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _hashed_sets(docs.join(wanted, "id", "left_semi"), k)
+    some = maybe_among(docs, "id", wanted, "among").filter("among").drop("among")  # texts that surely are none are not shuffled
+    sets = _hashed_sets(some.join(wanted, "id", "left_semi"), k)
     whole = sets.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["id", "f1", "f2"], "left_semi")
     return stage(whole.dropDuplicates(["id", "f1", "f2"]).select("id", "n", "shingles"), "sets")
 
