@@ -50,8 +50,8 @@ def similarity(a: Column, b: Column, n: int = 2) -> Column:
 
 
 def soundex(text: Column) -> Column:
-    """Letter and three digits; equal codes collapse only where they touch. Empty without a letter A to Z."""
-    letters = F.regexp_replace(F.upper(text), r"[^\p{L}]", "")
+    """Letter and three digits over the letters A to Z alone; equal codes collapse only where they touch. Empty without such a letter."""
+    letters = F.regexp_replace(F.upper(text), "[^A-Z]", "")
     codes = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", CODES)
-    rest = F.regexp_replace(F.substring(F.regexp_replace(codes, r"(.)\1+", "$1"), 2, 1000), "[^1-9]", "")
-    return F.when(letters == "", "").otherwise(F.rpad(F.concat(F.substring(letters, 1, 1), F.substring(rest, 1, 3)), 4, "0"))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(codes, r"(.)\1+", "$1"), "^.", ""), "0", "")
+    return F.when(letters == "", "").otherwise(F.rpad(F.concat(F.left(letters, F.lit(1)), F.left(rest, F.lit(3))), 4, "0"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.functions import phonetic, similarity
 from linkwell.operators import blocking, features, matching, scoring, tfidf
+from linkwell.sources.scratch import kept
 
 from . import adapters as A
 from .sql import ORACLE_SQL  # noqa: F401
@@ -19,7 +18,8 @@ FLAGSHIP = "token_linked_records"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = A.normalized(spark, sf_dir)
+    """Source 1 and the externals, normalized once: indexes, stop words, probes and features all read the written table."""
+    rows = kept(A.normalized(spark, sf_dir), "entities")
     return A.source(rows, 1), A.source(rows, 2, 3)
 
 
@@ -94,7 +94,7 @@ def pair_features(spark, sf_dir):
 
 def full_features(spark, sf_dir):
     s1, ext, pairs = _pairs(spark, sf_dir)
-    return features.build_features(pairs.drop("score"), s1, ext)
+    return features.build_features(kept(pairs.drop("score"), "pairs"), s1, ext)
 
 
 def candidate_lists(spark, sf_dir):
@@ -104,7 +104,7 @@ def candidate_lists(spark, sf_dir):
 
 def name_tfidf_cosines(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    everyone = A.normalized(spark, sf_dir)
+    everyone = s1.union(ext)
     v = tfidf.weights(everyone, "name_norm", tfidf.word_terms, tfidf.idf(everyone, "name_norm", tfidf.word_terms, most=1 << 30))
     pairs = _token_pairs(s1, ext, **AS_SQL)
     a = s1.select(F.col("entity_id").alias("s1"), F.col("name_norm").alias("ta"))
@@ -212,16 +212,8 @@ def threshold_sweep(spark, sf_dir):
     return matching.sweep(pairs.withColumnRenamed("score", "match_probability"), A.truth(spark, sf_dir))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder, as training reads it many times; a folder is made only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkwell-"))
-    return df.checkpoint()
-
-
 def model_matches(spark, sf_dir):
-    rows = _kept(features.label_pairs(full_features(spark, sf_dir), A.truth(spark, sf_dir)))
+    rows = kept(features.label_pairs(full_features(spark, sf_dir), A.truth(spark, sf_dir)), "labelled")
     model = matching.train(matching.training_sample(rows), maxIter=300)
     return matching.assemble(matching.predict(model, rows))
 

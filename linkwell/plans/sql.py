@@ -78,7 +78,7 @@ _SPLIT = """, strata AS (SELECT source1_entity_id AS entity_id, least(len(list_f
 sized AS (SELECT *, round_even(count(*) OVER (PARTITION BY stratum) * 0.2, 0) AS take, row_number() OVER (PARTITION BY stratum ORDER BY md5(entity_id || '|42'), entity_id) AS place FROM strata),
 parts AS (SELECT entity_id, stratum, CASE WHEN place <= take THEN 'val' ELSE 'train' END AS split FROM sized)"""
 _FAKE = ", scored AS (SELECT s1 AS source1_entity_id, id AS candidate_entity_id, common::DOUBLE / any_ AS match_probability FROM jac)"
-_LETTERS = "regexp_replace(upper(name_norm), '[^\\p{L}]', '', 'g')"
+_LETTERS = "regexp_replace(upper(replace(name_norm, 'ß', 'ss')), '[^A-Z]', '', 'g')"
 _GENERIC = ", ".join(f"'{g}'" for g in GENERIC)
 
 ORACLE_SQL = {
