@@ -1,18 +1,22 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
 A page is cut into blocks of text where block-level tags begin and end. A small log-linear
-classifier looks at each block's enclosing elements (the innermost telling one counts), length,
-sentence marks and share of linked text; its cost against either label becomes the capacity of the
-block's edge from the source (content) or to the sink (boilerplate). Edges between neighbours, and
-between consecutive blocks of one parent element, are the smoothness terms. A maximum flow separates
-the two, and blocks on the source's side, in page order, are the text.
+classifier looks at each block's length, sentence marks, share of linked text, the unlinked words of its
+container (the nearest element that is more than a paragraph, heading, list or table) beside the
+richest container's, and what the elements around it say by their names; its cost against either
+label becomes the capacity of the block's edge from the source (content) or to the sink
+(boilerplate). Edges between neighbours, strong ones within a container, are the smoothness terms.
+A maximum flow separates the two, and blocks on the source's side, in page order, are the text. So a
+line without signs of its own goes with the text around it, on pages whose classes say nothing too.
 
 Within a block, character references are decoded, white space becomes one space and ends are
 trimmed; blocks are joined by one space. Scripts, styles, comments and the head never are text.
 
 Cases: a null, empty or textless page gives an empty text; a page that is cut off, unclosed or
 misnested is read as far as it goes (an end tag closes its nearest open element, others are
-ignored); repeated rows give repeated results; an empty table gives an empty result.
+ignored); pages of any length and depth are read whole, in time that grows with their length; a
+block whose two costs are equal is boilerplate; repeated rows give repeated results; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,61 +45,64 @@ _INLINE = frozenset(
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("article section main body div ul ol table td th aside nav header footer form blockquote figure dl".split())
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-# fixed values: what element names and the words in class, id and role say
-_CONTENT_TAGS = {"article": 6.0, "main": 4.0}
-_OTHER_TAGS = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -7.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "select": -9.0, "head": -20.0}
-_CONTENT_NAMES = {w: 5.0 for w in "article articlebody post content entry story main maincontent text prose".split()}
-_OTHER_NAMES = {
-    w: -9.0
-    for w in (
-        "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
-        "newsletter subscribe subscription signup login sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs toc pagination pager "
-        "comment comments reply replies respond disqus discussion related recommended share sharing social follow footer foot header masthead "
-        "topbar toolbar widget popup modal overlay copyright legal disclaimer search complementary contentinfo hidden"
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption address hr".split())
+# fixed values: what element names and the words in class, id and role say; strong signs replace what is said around them, weak ones add to it
+_STRONG_TAGS = {"article": 3.0, "main": 2.0, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "button": -6.0, "select": -6.0, "header": -5.0, "head": -20.0}
+_STRONG_NAMES = frozenset(
+    (
+        "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter subscribe subscription signup login "
+        "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments reply replies respond disqus footer popup modal "
+        "overlay complementary contentinfo hidden"
     ).split()
-}
-LINK, LENGTH, SENTENCE, START = -5.0, 0.9, 0.8, -1.2  # weights: share of linked text, log of words, sentence marks, constant
-NEXT, SIBLING = 0.6, 1.2  # smoothness: neighbours, consecutive blocks of one parent
+)
+_WEAK_NAMES = frozenset("promo promotion banner notice alert aside toc discussion related recommended share sharing social follow foot header masthead topbar toolbar widget copyright legal disclaimer search".split())
+_CONTENT_NAMES = frozenset("article articlebody post content entry story main maincontent text prose".split())
+STRONG, WEAK, NAMED = -6.0, -2.5, 2.0
+LINK, LENGTH, SENTENCE, START, MASS = -5.0, 0.45, 0.8, -1.2, 2.0  # weights: share of linked text, log of words, sentence marks, constant, words of the container
+NEXT, SIBLING = 0.5, 2.0  # smoothness: neighbours in two containers, neighbours in one
 
 
 def _said(tag: str, attrs: str, inside: float) -> float:
-    """What an element says of the text in it; 0 if nothing. inside: what the elements around say."""
-    value = _CONTENT_TAGS.get(tag, 0.0) or _OTHER_TAGS.get(tag, 0.0)
+    """What is said of the text in an element. inside: what the elements around it say."""
+    value = _STRONG_TAGS.get(tag, inside)
     if tag == "header" and inside > 0:
-        value = 0.0  # an article's own head
+        value = inside  # an article's own head
     if attrs:
         for key, *quoted in _NAMING.findall(attrs):
             key, text = key.lower(), "".join(quoted)
             if key == "hidden" or key == "aria-hidden" and text.lower() == "true":
-                return -9.0
-            words = [w.lower() for w in _TOKEN.findall(text)]
-            other = [_OTHER_NAMES[w] for w in words if w in _OTHER_NAMES]
-            if other and not (inside > 0 and set(words) & {"header", "text"} and len(other) == 1 and "header" in words):
-                return min(other)
-            value = value or max((_CONTENT_NAMES[w] for w in words if w in _CONTENT_NAMES), default=0.0)
+                return STRONG
+            words = {w.lower() for w in _TOKEN.findall(text)}
+            if words & _STRONG_NAMES:
+                return STRONG
+            if words & _WEAK_NAMES:
+                value += WEAK
+            elif words & _CONTENT_NAMES:
+                value = max(value, NAMED)
     return value
 
 
 def blocks(page: str) -> list[tuple[str, float, float, int]]:
-    """(text, what the innermost telling element says, share of linked characters, parent element's number) of each block."""
-    out, stack = [], []  # stack: (tag, says, number)
-    parts, linked, said, number = [], 0, 0.0, 0
+    """(text, what the elements around say, share of linked characters, container's number) of each block."""
+    out, stack, opened = [], [], Counter()  # stack: (tag, says, container's number)
+    parts, linked, number = [], 0, 0
     in_link, at, end = 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, said, min(1.0, linked / len(text)), stack[-1][2] if stack else 0))
+            _, said, container = stack[-1] if stack else ("", 0.0, 0)
+            out.append((text, said, min(1.0, linked / len(text)), container))
         parts.clear()
         linked = 0
 
     def pop_to(index: int) -> None:
-        nonlocal said, in_link
+        nonlocal in_link
         for tag, _, _ in stack[index:]:
             in_link -= tag == "a"
+            opened[tag] -= 1
         del stack[index:]
-        said = next((s for _, s, _ in reversed(stack) if s), 0.0)
 
     def put(raw: str, plain: bool = False) -> None:
         nonlocal linked
@@ -135,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, float, float, int]]:
         if not inline:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     if not inline or all(s[0] in _INLINE for s in stack[i + 1 :]):
                         pop_to(i)
@@ -144,29 +152,30 @@ def blocks(page: str) -> list[tuple[str, float, float, int]]:
         if tag in _VOID:
             continue
         shut = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-        if shut:
+        if any(opened[t] for t in shut):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in shut:
                     pop_to(i)
                 elif stack[i][0] in _SCOPES:
                     break
         number += 1
-        says = _said(tag, attrs, said)
+        _, around, container = stack[-1] if stack else ("", 0.0, 0)
+        says = _said(tag, attrs, around)
         if attrs.rstrip().endswith("/") and inline:
             continue
-        if inline and says:
+        if inline and says != around:
             flush()
-        stack.append((tag, says, number))
-        said, in_link = says or said, in_link + (tag == "a")
+        stack.append((tag, says, container if inline or tag in _LEAVES else number))
+        opened[tag] += 1
+        in_link += tag == "a"
     flush()
     return out
 
 
-def evidence(text: str, said: float, linked: float) -> float:
-    """Positive for content; the classifier's log odds."""
+def evidence(text: str, said: float, linked: float, share: float) -> float:
+    """Positive for content; the classifier's log odds. share: unlinked words of the block's container beside the richest one's."""
     words = text.count(" ") + 1
-    marks = sum(text.count(c) for c in ".!?。")
-    return START + said + LINK * linked + LENGTH * math.log(1 + words) / 2 + (SENTENCE if marks and words > 3 else 0.0)
+    return START + said + LINK * linked + LENGTH * math.log(1 + words) + (SENTENCE if words > 3 and any(c in text for c in ".!?。") else 0.0) + MASS * (2 * share - 1)
 
 
 def cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -223,17 +232,21 @@ def cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     return side
 
 
-def main_text(page: str) -> str:
+def labelled(page: str) -> tuple[list[str], list[float], list[tuple[int, int, float]]]:
+    """Blocks of a page with their evidence and the smoothness edges between them."""
     parts = blocks(page)
-    unary = [evidence(t, s, link) for t, s, link, _ in parts]
-    edges, last = [], {}
-    for i, (_, _, _, parent) in enumerate(parts):
-        if i:
-            edges.append((i - 1, i, NEXT))
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    return " ".join(p[0] for p, keep in zip(parts, cut(unary, edges), strict=True) if keep)
+    words: dict[int, float] = {}
+    for text, said, linked, container in parts:
+        words[container] = words.get(container, 0.0) + ((text.count(" ") + 1) * (1 - linked) if said > STRONG else 0.0)
+    most = max(words.values(), default=0.0) or 1.0
+    unary = [evidence(text, said, linked, words[container] / most) for text, said, linked, container in parts]
+    edges = [(i, i + 1, SIBLING if x[3] == y[3] else NEXT) for i, (x, y) in enumerate(pairwise(parts))]
+    return [p[0] for p in parts], unary, edges
+
+
+def main_text(page: str) -> str:
+    texts, unary, edges = labelled(page)
+    return " ".join(t for t, keep in zip(texts, cut(unary, edges), strict=True) if keep)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

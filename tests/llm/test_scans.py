@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -210,6 +211,33 @@ def test_icons_formulas_and_plain_text_are_read():
     assert html_text.main_text("<article><p>Before it. <svg><title>no</title></svg> After it.</p></article>") == "Before it. After it."
 
 
+BARE = """<body><div class="x1"><a href="/a">Start</a> <a href="/b">Topics</a> <a href="/c">Shop</a></div><div class="x2">We use cookies on this site, please accept them.</div>
+<div class="x3"><h2>On rivers</h2><p>A river begins where rain and meltwater gather, and it grows with every stream that joins it on its way.</p><p><a href="/d">A map of rivers</a></p>
+<p>Below the hills it slows, bends and drops the sand it carried, so that its banks shift from year to year.</p><p>At last it meets the sea, where its mud builds new land.</p></div>
+<div class="x4">Buy boots now, they are cheap.</div><div class="x5"><p>Nice read, thanks a lot.</p></div></body>"""
+
+
+def test_pages_whose_names_say_nothing():
+    """The article is told by its words and place, and the cut keeps a linked line in it that the classifier alone would drop."""
+    got = html_text.main_text(BARE)
+    assert got.startswith("On rivers A river begins") and "A map of rivers" in got and got.endswith("builds new land.")
+    texts, unary, _ = html_text.labelled(BARE)
+    assert unary[texts.index("A map of rivers")] < 0
+    assert not any(x in got for x in ("cookies", "boots", "Nice read", "Topics"))
+
+
+def test_weak_names_do_not_decide():
+    page = "<article><h1>Old law</h1><p class='legal-history'>The first of these laws was written down long ago.</p><p class='alert'>It has been changed many times since, as we shall see.</p></article><div class='notice'>Closed on Monday, please note.</div>"
+    assert html_text.main_text(page) == "Old law The first of these laws was written down long ago. It has been changed many times since, as we shall see."
+    assert html_text.main_text("<p>Fine.</p><p>One line of prose that stands here.</p><h2>End</h2>") == "Fine. One line of prose that stands here. End"
+
+
+def test_deep_pages_take_time_in_proportion():
+    began = time.time()
+    assert html_text.main_text("<div>" * 30_000 + "</p>" * 30_000 + "Some text stands here.") == "Some text stands here."
+    assert time.time() - began < 5
+
+
 def test_extract_cases(spark):
     frame = spark.createDataFrame([(1, None, "u"), (2, PAGE, None), (None, "", "u"), (2, PAGE, None)], "page_id long, html string, text string")
     got = html_text.extract(frame).collect()
