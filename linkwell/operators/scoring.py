@@ -39,6 +39,11 @@ def macro_scores(scores: DataFrame) -> DataFrame:
     return scores.agg(mean("precision", "macro_precision"), mean("recall", "macro_recall"), mean("f_beta", "macro_f_beta"), F.count("*").alias("evaluated_entities"))
 
 
+def empty_baseline(truth: DataFrame, beta: float = 0.5) -> DataFrame:
+    """Macro scores of a prediction that names no match for any entity."""
+    return macro_scores(entity_scores(truth.select("source1_entity_id", F.lit("").alias("matched_entity_ids")), truth, beta=beta))
+
+
 def match_stratum(truth_ids: Column) -> Column:
     """0, 1 or 2 for no, one or more matches."""
     return F.least(F.size(id_list(truth_ids)), F.lit(2))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.functions import phonetic, similarity
-from linkwell.operators import blocking, features, matching, scoring, tfidf
+from linkwell.operators import blocking, features, matching, profiling, scoring, tfidf
 from linkwell.sources.scratch import kept
 
 from . import adapters as A
@@ -178,10 +178,72 @@ def id_quality(spark, sf_dir):
 
 
 def field_stats(spark, sf_dir):
-    size = F.length("business_name")
-    return A.entities(spark, sf_dir).groupBy(F.substring("entity_id", 1, 2).alias("source")).agg(
-        F.round(F.avg(size), 6).alias("mean_chars"), F.percentile(size, F.lit(0.5)).alias("median_chars"), F.min(size).alias("min_chars"), F.max(size).alias("max_chars")
+    rows = A.entities(spark, sf_dir).withColumn("source", F.substring("entity_id", 1, 2))
+    return profiling.field_stats(rows, "business_name", "source").withColumns({c: F.round(c, 6) for c in ("mean_chars", "mean_tokens")})
+
+
+def name_length_histogram(spark, sf_dir):
+    rows = A.entities(spark, sf_dir).withColumn("chars", F.length("business_name"))
+    return profiling.histogram(rows, "chars", 0, 100, 50)
+
+
+def null_counts(spark, sf_dir):
+    return profiling.null_counts(A.entities(spark, sf_dir))
+
+
+def reverse_truth(spark, sf_dir):
+    return profiling.reverse_truth(A.truth(spark, sf_dir))
+
+
+def orphan_matches(spark, sf_dir):
+    """Matches that source 2 alone does not explain."""
+    return profiling.orphans(A.truth(spark, sf_dir), A.source(A.entities(spark, sf_dir), 2))
+
+
+def id_set_differences(spark, sf_dir):
+    """Entities of source 1 without, and with, a match against each other's list."""
+    truth = A.truth(spark, sf_dir)
+    some = truth.filter("matched_entity_ids <> ''")
+    return scoring.id_differences(truth, some, "source1_entity_id")
+
+
+def empty_baseline(spark, sf_dir):
+    return scoring.empty_baseline(A.truth(spark, sf_dir))
+
+
+def _scored(spark, sf_dir):
+    return kept(_pairs(spark, sf_dir, **AS_SQL)[2].withColumnRenamed("score", "match_probability"), "scored")
+
+
+def top1_sweep(spark, sf_dir):
+    return matching.sweep(_scored(spark, sf_dir), A.truth(spark, sf_dir), "top1")
+
+
+def best_threshold(spark, sf_dir):
+    return matching.best_of_modes(_scored(spark, sf_dir), A.truth(spark, sf_dir))
+
+
+def class_balance(spark, sf_dir):
+    return matching.class_balance(_labelled(spark, sf_dir))
+
+
+def candidate_set_sizes(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    return profiling.set_sizes(_token_pairs(s1, ext, **AS_SQL), 50).withColumns({c: F.round(c, 6) for c in ("mean", "at_cap")})
+
+
+def score_distribution(spark, sf_dir):
+    rows = profiling.distribution(_scored(spark, sf_dir), "match_probability")
+    return rows.select(*(F.round(c, 6).alias(c) for c in rows.columns))
+
+
+def blocking_recall(spark, sf_dir):
+    s1, ext = _sides(spark, sf_dir)
+    found = blocking.unite(
+        token=blocking.token_candidates(s1, blocking.token_index(ext, **AS_SQL)),
+        postal_address=blocking.address_candidates(s1, blocking.postal_index(ext), blocking.address_index(ext, **AS_SQL)),
     )
+    return profiling.recall(_truth_pairs(spark, sf_dir), found).withColumn("recall", F.round("recall", 6))
 
 
 def country_by_source(spark, sf_dir):
@@ -190,11 +252,10 @@ def country_by_source(spark, sf_dir):
 
 
 def stratified_sample(spark, sf_dir):
-    """A sampling operator: 35 entities with one match and 25 with more, by a seeded hash."""
-    rows = _split(spark, sf_dir).select("entity_id", "stratum")
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(matching.hash_order(7, "entity_id"), "entity_id"))
-    take = F.when(F.col("stratum") == 1, 35).when(F.col("stratum") == 2, 25).otherwise(0)
-    return rows.withColumn("place", place).filter(F.col("place") <= take).select("entity_id", "stratum")
+    """A sampling operator: 35 entities with one match, 25 with two and 20 with more, by a seeded hash."""
+    size = F.least(F.size(scoring.id_list(F.col("matched_entity_ids"))), F.lit(3))
+    rows = A.truth(spark, sf_dir).select(F.col("source1_entity_id").alias("entity_id"), size.alias("stratum"))
+    return profiling.stratified_draw(rows, "entity_id", "stratum", {1: 35, 2: 25, 3: 20}, seed=7)
 
 
 def _labelled(spark, sf_dir):
@@ -231,5 +292,7 @@ _ALL = (
     normalized_entities, token_linked_records, stop_tokens, soundex_codes, sorted_neighbours, postal_address_candidates, phonetic_candidates, pair_features, full_features, candidate_lists,
     name_tfidf_cosines, entity_scores, macro_scores, stratified_split, split_distribution, subset_violations, output_validation, match_count_histogram, matched_source_shares,
     unreferenced_externals, id_quality, field_stats, country_by_source, stratified_sample, training_sample, threshold_sweep, model_matches, name_similarities,
+    name_length_histogram, null_counts, reverse_truth, orphan_matches, id_set_differences, empty_baseline, top1_sweep, best_threshold, class_balance, candidate_set_sizes,
+    score_distribution, blocking_recall,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -81,6 +81,25 @@ _FAKE = ", scored AS (SELECT s1 AS source1_entity_id, id AS candidate_entity_id,
 _LETTERS = "regexp_replace(upper(replace(name_norm, 'ß', 'ss')), '[^A-Z]', '', 'g')"
 _GENERIC = ", ".join(f"'{g}'" for g in GENERIC)
 
+_ADDRESS = f""", codes AS (SELECT country_norm, postal_code, count(*) AS n FROM ext WHERE postal_code IS NOT NULL GROUP BY 1, 2 HAVING count(*) <= 1500),
+by_code AS (SELECT s1.entity_id AS s1, ext.entity_id AS id FROM s1 JOIN ext ON s1.country_norm = ext.country_norm AND s1.postal_code = ext.postal_code JOIN codes c ON c.country_norm = ext.country_norm AND c.postal_code = ext.postal_code),
+aw AS (SELECT country_norm, entity_id, unnest(address_tokens) AS t FROM ext), awf AS (SELECT * FROM aw WHERE length(t) >= 3 AND t NOT IN ({_GENERIC})),
+astop AS (SELECT t FROM awf GROUP BY 1 HAVING count(*) > 50), ai AS (SELECT DISTINCT country_norm, t, entity_id FROM awf WHERE t NOT IN (SELECT t FROM astop)),
+by_word AS (SELECT s.entity_id AS s1, ai.entity_id AS id FROM (SELECT entity_id, country_norm, unnest(list_distinct(address_tokens)) AS t FROM s1) s JOIN ai ON ai.t = s.t AND ai.country_norm = s.country_norm GROUP BY 1, 2 HAVING count(*) >= 2)"""
+_LENGTHS = ", lengths AS (SELECT entity_id, length(business_name) AS c, CASE WHEN business_name = '' THEN 0 ELSE length(business_name) - length(replace(business_name, ' ', '')) + 1 END AS w FROM ent)"
+
+
+def _sweep(mode: str) -> str:
+    """sweep_<mode>: macro scores at every threshold; top1 keeps each entity's best candidate."""
+    only = "" if mode == "multi" else " WHERE place = 1"
+    return f""", pool_{mode} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY match_probability DESC, candidate_entity_id) AS place FROM scored){only}),
+th_{mode} AS (SELECT 0.05::DOUBLE + i * 0.05::DOUBLE AS threshold FROM range(19) r(i)),
+hits_{mode} AS (SELECT th.threshold, t.source1_entity_id, (SELECT count(*) FROM truth_pairs x WHERE x.s1 = t.source1_entity_id) AS tc, count(s.candidate_entity_id) AS pc, count(x.id) AS c
+  FROM th_{mode} th CROSS JOIN truth t LEFT JOIN pool_{mode} s ON s.source1_entity_id = t.source1_entity_id AND s.match_probability >= th.threshold LEFT JOIN truth_pairs x ON x.s1 = s.source1_entity_id AND x.id = s.candidate_entity_id GROUP BY 1, 2),
+rates_{mode} AS (SELECT threshold, CASE WHEN tc = 0 AND pc = 0 THEN 1.0 WHEN tc = 0 OR pc = 0 THEN 0.0 ELSE c::DOUBLE / pc END AS p, CASE WHEN tc = 0 AND pc = 0 THEN 1.0 WHEN tc = 0 OR pc = 0 THEN 0.0 ELSE c::DOUBLE / tc END AS r FROM hits_{mode}),
+sweep_{mode} AS (SELECT round(threshold, 4) AS threshold, '{mode}' AS mode, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p * r = 0 THEN 0.0 ELSE 1.25 * p * r / (0.25 * p + r) END), 6) AS macro_f_beta, count(*) AS evaluated_entities FROM rates_{mode} GROUP BY threshold)"""
+
+
 ORACLE_SQL = {
     "normalized_entities": q("SELECT entity_id, name_norm, address_norm, country_norm, postal_code, array_to_string(name_tokens, ' ') AS name_tokens, array_to_string(address_tokens, ' ') AS address_tokens FROM full_norm"),
     "token_linked_records": q("SELECT * FROM pred", _PRED.replace("linked l", "linked l")),
@@ -95,14 +114,7 @@ ORACLE_SQL = {
 ranked AS (SELECT *, sum(CASE WHEN id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY part ORDER BY name, id IS NOT NULL, id, s1 ROWS UNBOUNDED PRECEDING) AS place FROM sn),
 listed AS (SELECT part, place - 1 AS place, id FROM ranked WHERE id IS NOT NULL), asked AS (SELECT part, place AS p, s1 FROM ranked WHERE s1 IS NOT NULL)""",
     ),
-    "postal_address_candidates": q(
-        "SELECT * FROM by_code UNION SELECT * FROM by_word",
-        f""", codes AS (SELECT country_norm, postal_code, count(*) AS n FROM ext WHERE postal_code IS NOT NULL GROUP BY 1, 2 HAVING count(*) <= 1500),
-by_code AS (SELECT s1.entity_id AS s1, ext.entity_id AS id FROM s1 JOIN ext ON s1.country_norm = ext.country_norm AND s1.postal_code = ext.postal_code JOIN codes c ON c.country_norm = ext.country_norm AND c.postal_code = ext.postal_code),
-aw AS (SELECT country_norm, entity_id, unnest(address_tokens) AS t FROM ext), awf AS (SELECT * FROM aw WHERE length(t) >= 3 AND t NOT IN ({_GENERIC})),
-astop AS (SELECT t FROM awf GROUP BY 1 HAVING count(*) > 50), ai AS (SELECT DISTINCT country_norm, t, entity_id FROM awf WHERE t NOT IN (SELECT t FROM astop)),
-by_word AS (SELECT s.entity_id AS s1, ai.entity_id AS id FROM (SELECT entity_id, country_norm, unnest(list_distinct(address_tokens)) AS t FROM s1) s JOIN ai ON ai.t = s.t AND ai.country_norm = s.country_norm GROUP BY 1, 2 HAVING count(*) >= 2)""",
-    ),
+    "postal_address_candidates": q("SELECT * FROM by_code UNION SELECT * FROM by_word", _ADDRESS),
     "pair_features": q(
         """SELECT p.s1 AS source1_entity_id, p.id AS candidate_entity_id, CAST(a.business_name = b.business_name AS INTEGER) AS name_exact_raw, CAST(a.name_norm = b.name_norm AND a.name_norm <> '' AS INTEGER) AS name_exact_norm,
   round(p.common::DOUBLE / p.any_, 6) AS name_jaccard_tokens, CAST(p.common AS INTEGER) AS name_token_overlap_count, CAST(a.address_norm = b.address_norm AND a.address_norm <> '' AS INTEGER) AS address_exact_norm,
@@ -124,24 +136,33 @@ FROM jac p JOIN s1 a ON a.entity_id = p.s1 JOIN ext b ON b.entity_id = p.id"""
     "matched_source_shares": q("SELECT left(id, 2) AS source, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM truth_pairs GROUP BY 1"),
     "unreferenced_externals": q("SELECT entity_id FROM ext WHERE entity_id NOT IN (SELECT id FROM truth_pairs)"),
     "id_quality": q("SELECT left(entity_id, 2) AS source, count(*) AS n, count(*) - count(DISTINCT entity_id) AS duplicates, CAST(count(*) FILTER (name_norm = '') AS BIGINT) AS empty_names, bool_and(starts_with(entity_id, 'S')) AS prefixed FROM full_norm GROUP BY 1"),
-    "field_stats": q("SELECT left(entity_id, 2) AS source, round(avg(length(business_name)), 6) AS mean_chars, median(length(business_name)) AS median_chars, CAST(min(length(business_name)) AS INTEGER) AS min_chars, CAST(max(length(business_name)) AS INTEGER) AS max_chars FROM ent GROUP BY 1"),
+    "field_stats": q("SELECT left(entity_id, 2) AS source, round(avg(c), 6) AS mean_chars, median(c) AS median_chars, CAST(min(c) AS INTEGER) AS min_chars, CAST(max(c) AS INTEGER) AS max_chars, round(avg(w), 6) AS mean_tokens, median(w) AS median_tokens, CAST(min(w) AS INTEGER) AS min_tokens, CAST(max(w) AS INTEGER) AS max_tokens FROM lengths GROUP BY 1", _LENGTHS),
+    "name_length_histogram": q("SELECT CAST(CASE WHEN c >= 100 THEN 51 ELSE floor(c / 2.0) + 1 END AS BIGINT) AS bin, count(*) AS n FROM lengths GROUP BY 1", _LENGTHS),
+    "null_counts": q("SELECT " + ", ".join(f"count(*) - count({c}) AS {c}" for c in ("entity_id", "business_name", "business_address", "country", "text_key")) + " FROM ent"),
+    "reverse_truth": q("SELECT id AS matched_id, max(s1) AS source1_entity_id FROM truth_pairs GROUP BY 1"),
+    "orphan_matches": q("SELECT DISTINCT id AS matched_id FROM truth_pairs WHERE id NOT IN (SELECT entity_id FROM ext WHERE entity_id LIKE 'S2%')"),
+    "id_set_differences": q("SELECT count(*) FILTER (matched_entity_ids = '') AS only_left, CAST(0 AS BIGINT) AS only_right FROM truth"),
+    "empty_baseline": q("SELECT round(avg(e), 6) AS macro_precision, round(avg(e), 6) AS macro_recall, round(avg(e), 6) AS macro_f_beta, count(*) AS evaluated_entities FROM (SELECT CASE WHEN matched_entity_ids = '' THEN 1.0 ELSE 0.0 END AS e FROM truth)"),
+    "class_balance": q("SELECT count(t.id) AS positives, count(*) - count(t.id) AS negatives, round((count(*) - count(t.id))::DOUBLE / nullif(count(t.id), 0), 6) AS ratio FROM jac j LEFT JOIN truth_pairs t ON t.s1 = j.s1 AND t.id = j.id"),
+    "candidate_set_sizes": q("SELECT round(avg(n), 6) AS mean, median(n) AS median, max(n) AS max, round(avg(CASE WHEN n >= 50 THEN 1.0 ELSE 0.0 END), 6) AS at_cap FROM (SELECT count(*) AS n FROM jac GROUP BY s1)"),
+    "score_distribution": q(
+        "SELECT round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(stddev_samp(p), 6) AS std, round(min(p), 6) AS min, round(max(p), 6) AS max, " + ", ".join(f"round(avg(CASE WHEN p {o} {x} THEN 1.0 ELSE 0.0 END), 6) AS {n}" for n, o, x in (("below_30", "<", 0.3), ("below_40", "<", 0.4), ("below_50", "<", 0.5), ("from_60", ">=", 0.6))) + " FROM (SELECT common::DOUBLE / any_ AS p FROM jac)"
+    ),
+    "blocking_recall": q(
+        "SELECT strategy, count(*) AS hits, (SELECT count(*) FROM truth_pairs) AS total, round(count(*)::DOUBLE / (SELECT count(*) FROM truth_pairs), 6) AS recall FROM (SELECT 'token' AS strategy, s1, id FROM token_pairs UNION SELECT 'postal_address', s1, id FROM by_address UNION SELECT 'any', s1, id FROM (SELECT s1, id FROM token_pairs UNION SELECT s1, id FROM by_address)) f JOIN truth_pairs USING (s1, id) GROUP BY 1",
+        _ADDRESS + ", by_address AS (SELECT * FROM by_code UNION SELECT * FROM by_word)",
+    ),
+    "top1_sweep": q("SELECT * FROM sweep_top1", _FAKE + _sweep("top1")),
+    "best_threshold": q("SELECT * FROM (SELECT * FROM sweep_multi UNION ALL SELECT * FROM sweep_top1) ORDER BY macro_f_beta DESC, mode, threshold LIMIT 1", _FAKE + _sweep("multi") + _sweep("top1")),
     "country_by_source": q("SELECT country, count(*) FILTER (entity_id LIKE 'S1%') AS S1, count(*) FILTER (entity_id LIKE 'S2%') AS S2, count(*) FILTER (entity_id LIKE 'S3%') AS S3 FROM ent GROUP BY 1"),
     "stratified_sample": q(
-        "SELECT entity_id, CAST(stratum AS INTEGER) AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(entity_id || '|7'), entity_id) AS place2 FROM strata) WHERE place2 <= CASE stratum WHEN 1 THEN 35 WHEN 2 THEN 25 ELSE 0 END",
-        _SPLIT,
+        "SELECT entity_id, CAST(stratum AS INTEGER) AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(entity_id || '|7'), entity_id) AS place FROM (SELECT source1_entity_id AS entity_id, least(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')), 3) AS stratum FROM truth)) WHERE place <= CASE stratum WHEN 1 THEN 35 WHEN 2 THEN 25 WHEN 3 THEN 20 ELSE 0 END"
     ),
     "training_sample": q(
         "SELECT source1_entity_id, candidate_entity_id, label FROM kinds WHERE kind <> 'fuzzy' UNION ALL SELECT source1_entity_id, candidate_entity_id, label FROM (SELECT *, row_number() OVER (ORDER BY md5(source1_entity_id || '|' || candidate_entity_id || '|42'), source1_entity_id, candidate_entity_id) AS place FROM kinds WHERE kind = 'fuzzy') WHERE place <= (SELECT greatest(0, round(count(*) FILTER (kind = 'positive') * 15.0) - count(*) FILTER (kind = 'exact')) FROM kinds)",
         ", lab AS (SELECT j.s1 AS source1_entity_id, j.id AS candidate_entity_id, CASE WHEN t.id IS NULL THEN 0 ELSE 1 END AS label, CASE WHEN j.common >= 3 THEN 1 ELSE 0 END AS tier FROM jac j LEFT JOIN truth_pairs t ON t.s1 = j.s1 AND t.id = j.id), kinds AS (SELECT *, CASE WHEN label = 1 THEN 'positive' WHEN tier = 1 THEN 'exact' ELSE 'fuzzy' END AS kind FROM lab)",
     ),
-    "threshold_sweep": q(
-        """SELECT round(threshold, 4) AS threshold, 'multi' AS mode, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p * r = 0 THEN 0.0 ELSE 1.25 * p * r / (0.25 * p + r) END), 6) AS macro_f_beta, count(*) AS evaluated_entities FROM pr2 GROUP BY threshold""",
-        _FAKE
-        + """, th AS (SELECT 0.05::DOUBLE + i * 0.05::DOUBLE AS threshold FROM range(19) r(i)),
-hits AS (SELECT th.threshold, t.source1_entity_id, (SELECT count(*) FROM truth_pairs x WHERE x.s1 = t.source1_entity_id) AS tc, count(s.candidate_entity_id) AS pc, count(x.id) AS c
-  FROM th CROSS JOIN truth t LEFT JOIN scored s ON s.source1_entity_id = t.source1_entity_id AND s.match_probability >= th.threshold LEFT JOIN truth_pairs x ON x.s1 = s.source1_entity_id AND x.id = s.candidate_entity_id GROUP BY 1, 2),
-pr2 AS (SELECT threshold, CASE WHEN tc = 0 AND pc = 0 THEN 1.0 WHEN tc = 0 OR pc = 0 THEN 0.0 ELSE c::DOUBLE / pc END AS p, CASE WHEN tc = 0 AND pc = 0 THEN 1.0 WHEN tc = 0 OR pc = 0 THEN 0.0 ELSE c::DOUBLE / tc END AS r FROM hits)""",
-    ),
+    "threshold_sweep": q("SELECT * FROM sweep_multi", _FAKE + _sweep("multi")),
     "name_tfidf_cosines": q(
         "SELECT p.s1, p.id, round(least(1.0, coalesce(sum(x.w * y.w), 0.0)), 6) AS cosine FROM token_pairs p JOIN s1 a ON a.entity_id = p.s1 JOIN ext b ON b.entity_id = p.id LEFT JOIN unit x ON x.t = a.name_norm LEFT JOIN unit y ON y.t = b.name_norm AND y.term = x.term WHERE y.term IS NOT NULL OR NOT EXISTS (SELECT 1 FROM unit u JOIN unit v ON u.term = v.term WHERE u.t = a.name_norm AND v.t = b.name_norm) GROUP BY 1, 2",
         """, dn AS (SELECT DISTINCT name_norm AS t FROM full_norm), ws AS (SELECT t, list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 2) AS w FROM dn),

@@ -41,8 +41,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_matches(spark: SparkSession, path: str, kind: str) -> bool:
-    first = spark.read.text(path).limit(1).collect()
-    return bool(first) and first[0]["value"].rstrip("\r") == HEADERS[kind]
+    """Whether the first line of every file is the output's header; a path without a line has none."""
+    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    first = lines.groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    bad, files = first.agg(F.count(F.when(F.col("line") != HEADERS[kind], 1)), F.count("*")).first()
+    return files > 0 and bad == 0
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -50,6 +53,34 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", "").csv(path)
 
 
+def append_tsv(df: DataFrame, path: str, *order: str) -> None:
+    """df's rows, in order, at the end of one tab-separated file; a new file begins with the header.
+
+    The rows are sorted and written by the executors; the driver's file system copies the parts behind
+    what is there into a new file, block by block, and puts it in the place of the old one.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path_ = jvm.org.apache.hadoop.fs.Path
+    target, parts, fresh = Path_(path), Path_(f"{path}.parts"), Path_(f"{path}.new")
+    fs = target.getFileSystem(conf)
+    df.orderBy(*order).write.mode("overwrite").option("sep", "\t").option("emptyValue", "").option("nullValue", "").option("quote", "").csv(parts.toString())
+    files = sorted((s.getPath() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    out = fs.create(fresh, True)
+    try:
+        if not fs.exists(target):
+            out.write(bytearray(("\t".join(df.columns) + "\n").encode()))
+        for file in [*([target] if fs.exists(target) else []), *files]:
+            given = fs.open(file)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, conf, False)
+            given.close()
+    finally:
+        out.close()
+    fs.delete(target, False)
+    fs.rename(fresh, target)
+    fs.delete(parts, True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -85,9 +116,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def report(title: str, rows: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
+    """A small result as a Markdown table; of a larger one the first rows, and a line that says so."""
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in rows.limit(most).collect()]
+    found = rows.limit(most + 1).collect()
+    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in found[:most]]
+    if len(found) > most:
+        lines += ["", f"First {most} rows; the result has more."]
     return "\n".join(lines) + "\n"
 
 
