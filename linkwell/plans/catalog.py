@@ -12,8 +12,7 @@ from linkwell.sources.scratch import kept
 from . import adapters as A
 from .sql import ORACLE_SQL  # noqa: F401
 
-FLOOR = 50  # occurrences from which a token is a stop word in the SQL, and so in the queries that have SQL
-AS_SQL = {"share": 0, "floor": FLOOR}
+REPORTED = 50  # occurrences from which the report of frequent name words lists one; candidates use the operators' own limits
 FLAGSHIP = "token_linked_records"
 
 
@@ -23,17 +22,17 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return A.source(rows, 1), A.source(rows, 2, 3)
 
 
-def _token_pairs(s1: DataFrame, ext: DataFrame, **limit) -> DataFrame:
-    """(s1, id, both, any) of pairs of one country that share a name token that is no stop word; without a limit, the operator's own."""
-    pairs = blocking.token_candidates(s1, blocking.token_index(ext, **limit))
+def _token_pairs(s1: DataFrame, ext: DataFrame) -> DataFrame:
+    """(s1, id, both, any) of pairs of one country that share a name token that is no stop word."""
+    pairs = blocking.token_candidates(s1, blocking.token_index(ext))
     a = s1.select(F.col("entity_id").alias("s1"), F.col("name_tokens").alias("a"))
     b = ext.select(F.col("entity_id").alias("id"), F.col("name_tokens").alias("b"))
     joined = pairs.join(a, "s1").join(b, "id")
     return joined.select("s1", "id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("any"))
 
 
-def _linked(s1: DataFrame, ext: DataFrame, **limit) -> DataFrame:
-    return _token_pairs(s1, ext, **limit).filter(F.col("both") * 2 >= F.col("any")).select("s1", "id")
+def _linked(s1: DataFrame, ext: DataFrame) -> DataFrame:
+    return _token_pairs(s1, ext).filter(F.col("both") * 2 >= F.col("any")).select("s1", "id")
 
 
 def normalized_entities(spark, sf_dir):
@@ -43,13 +42,13 @@ def normalized_entities(spark, sf_dir):
 
 def token_linked_records(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return blocking.joined_lists(s1, _linked(s1, ext, **AS_SQL), "matched_entity_ids")
+    return blocking.joined_lists(s1, _linked(s1, ext), "matched_entity_ids")
 
 
 def stop_tokens(spark, sf_dir):
     _, ext = _sides(spark, sf_dir)
     keys = ext.select(F.explode("name_tokens").alias("key"))
-    return keys.groupBy("key").agg(F.count("*").alias("n")).join(blocking.stop_keys(keys, ext, 0, FLOOR), "key", "left_semi")
+    return keys.groupBy("key").agg(F.count("*").alias("n")).join(blocking.stop_keys(keys, ext, 0, REPORTED), "key", "left_semi")
 
 
 def soundex_codes(spark, sf_dir):
@@ -57,12 +56,12 @@ def soundex_codes(spark, sf_dir):
 
 
 def sorted_neighbours(spark, sf_dir):
-    return blocking.neighbour_candidates(*_sides(spark, sf_dir), window=2)
+    return blocking.neighbour_candidates(*_sides(spark, sf_dir))
 
 
 def postal_address_candidates(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return blocking.address_candidates(s1, blocking.postal_index(ext), blocking.address_index(ext, share=0, floor=FLOOR))
+    return blocking.address_candidates(s1, blocking.postal_index(ext), blocking.address_index(ext))
 
 
 def phonetic_candidates(spark, sf_dir):
@@ -70,13 +69,13 @@ def phonetic_candidates(spark, sf_dir):
     return blocking.phonetic_candidates(s1, blocking.phonetic_index(ext))
 
 
-def _pairs(spark, sf_dir, **limit):
+def _pairs(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return s1, ext, _token_pairs(s1, ext, **limit).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") / F.col("any")).alias("score"))
+    return s1, ext, _token_pairs(s1, ext).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") / F.col("any")).alias("score"))
 
 
 def pair_features(spark, sf_dir):
-    s1, ext, pairs = _pairs(spark, sf_dir, **AS_SQL)
+    s1, ext, pairs = _pairs(spark, sf_dir)
     joined = features.join_pairs(pairs, s1, ext)
     own = features.name_features(joined) | features.address_features(joined)
     names = ["name_exact_raw", "name_exact_norm", "name_jaccard_tokens", "name_token_overlap_count", "address_exact_norm", "postal_available", "postal_exact_match"]
@@ -106,7 +105,7 @@ def name_tfidf_cosines(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
     everyone = s1.union(ext)
     v = tfidf.weights(everyone, "name_norm", tfidf.word_terms, tfidf.idf(everyone, "name_norm", tfidf.word_terms, most=1 << 30))
-    pairs = _token_pairs(s1, ext, **AS_SQL)
+    pairs = _token_pairs(s1, ext)
     a = s1.select(F.col("entity_id").alias("s1"), F.col("name_norm").alias("ta"))
     b = ext.select(F.col("entity_id").alias("id"), F.col("name_norm").alias("tb"))
     rows = pairs.join(a, "s1").join(b, "id").join(v.toDF("ta", "va"), "ta", "left").join(v.toDF("tb", "vb"), "tb", "left")
@@ -137,7 +136,7 @@ def split_distribution(spark, sf_dir):
 
 def subset_violations(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return scoring.subset_violations(A.truth(spark, sf_dir), blocking.joined_lists(s1, _linked(s1, ext, **AS_SQL)))
+    return scoring.subset_violations(A.truth(spark, sf_dir), blocking.joined_lists(s1, _linked(s1, ext)))
 
 
 def output_validation(spark, sf_dir):
@@ -212,7 +211,7 @@ def empty_baseline(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return kept(_pairs(spark, sf_dir, **AS_SQL)[2].withColumnRenamed("score", "match_probability"), "scored")
+    return kept(_pairs(spark, sf_dir)[2].withColumnRenamed("score", "match_probability"), "scored")
 
 
 def top1_sweep(spark, sf_dir):
@@ -229,7 +228,7 @@ def class_balance(spark, sf_dir):
 
 def candidate_set_sizes(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return profiling.set_sizes(_token_pairs(s1, ext, **AS_SQL), 50).withColumns({c: F.round(c, 6) for c in ("mean", "at_cap")})
+    return profiling.set_sizes(_token_pairs(s1, ext), 50).withColumns({c: F.round(c, 6) for c in ("mean", "at_cap")})
 
 
 def score_distribution(spark, sf_dir):
@@ -240,8 +239,8 @@ def score_distribution(spark, sf_dir):
 def blocking_recall(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
     found = blocking.unite(
-        token=blocking.token_candidates(s1, blocking.token_index(ext, **AS_SQL)),
-        postal_address=blocking.address_candidates(s1, blocking.postal_index(ext), blocking.address_index(ext, **AS_SQL)),
+        token=blocking.token_candidates(s1, blocking.token_index(ext)),
+        postal_address=blocking.address_candidates(s1, blocking.postal_index(ext), blocking.address_index(ext)),
     )
     return profiling.recall(_truth_pairs(spark, sf_dir), found).withColumn("recall", F.round("recall", 6))
 
@@ -260,7 +259,7 @@ def stratified_sample(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    rows = _token_pairs(s1, ext, **AS_SQL).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") >= 3).cast("int").alias("is_exact_tier"))
+    rows = _token_pairs(s1, ext).select(F.col("s1").alias("source1_entity_id"), F.col("id").alias("candidate_entity_id"), (F.col("both") >= 3).cast("int").alias("is_exact_tier"))
     return features.label_pairs(rows, A.truth(spark, sf_dir))
 
 
@@ -269,7 +268,7 @@ def training_sample(spark, sf_dir):
 
 
 def threshold_sweep(spark, sf_dir):
-    _, _, pairs = _pairs(spark, sf_dir, **AS_SQL)
+    _, _, pairs = _pairs(spark, sf_dir)
     return matching.sweep(pairs.withColumnRenamed("score", "match_probability"), A.truth(spark, sf_dir))
 
 

@@ -52,7 +52,8 @@ truth AS (
   FROM s1 LEFT JOIN ext ON s1.country = ext.country AND s1.text_key = ext.text_key GROUP BY 1),
 truth_pairs AS (SELECT s1.entity_id AS s1, ext.entity_id AS id FROM s1 JOIN ext ON s1.country = ext.country AND s1.text_key = ext.text_key),
 stops AS (SELECT t AS key, count(*) AS n FROM (SELECT unnest(name_tokens) AS t FROM ext) GROUP BY 1 HAVING count(*) > 50),
-tok AS (SELECT country_norm AS part, t AS key, entity_id AS id FROM (SELECT country_norm, entity_id, unnest(name_tokens) AS t FROM ext) WHERE length(t) >= 2 AND t NOT IN (SELECT key FROM stops)),
+stopped AS (SELECT t AS key FROM (SELECT unnest(name_tokens) AS t FROM ext) GROUP BY 1 HAVING count(*) > greatest(500, floor(0.005 * (SELECT count(*) FROM ext)))),
+tok AS (SELECT country_norm AS part, t AS key, entity_id AS id FROM (SELECT country_norm, entity_id, unnest(name_tokens) AS t FROM ext) WHERE length(t) >= 2 AND t NOT IN (SELECT key FROM stopped)),
 token_pairs AS (
   SELECT DISTINCT q.entity_id AS s1, tok.id FROM (SELECT entity_id, country_norm, unnest(name_tokens) AS key FROM s1) q JOIN tok ON tok.key = q.key AND tok.part = q.country_norm),
 jac AS (
@@ -79,12 +80,13 @@ sized AS (SELECT *, round_even(count(*) OVER (PARTITION BY stratum) * 0.2, 0) AS
 parts AS (SELECT entity_id, stratum, CASE WHEN place <= take THEN 'val' ELSE 'train' END AS split FROM sized)"""
 _FAKE = ", scored AS (SELECT s1 AS source1_entity_id, id AS candidate_entity_id, common::DOUBLE / any_ AS match_probability FROM jac)"
 _LETTERS = "regexp_replace(upper(replace(name_norm, 'ß', 'ss')), '[^A-Z]', '', 'g')"
+_SOUNDEX = "rpad(left(l, 1) || left(regexp_replace(array_to_string(list_filter(string_split(c, ''), lambda x, i: i > 1 AND x <> substr(c, i - 1, 1)), ''), '[^1-9]', '', 'g'), 3), 4, '0')"
 _GENERIC = ", ".join(f"'{g}'" for g in GENERIC)
 
 _ADDRESS = f""", codes AS (SELECT country_norm, postal_code, count(*) AS n FROM ext WHERE postal_code IS NOT NULL GROUP BY 1, 2 HAVING count(*) <= 1500),
 by_code AS (SELECT s1.entity_id AS s1, ext.entity_id AS id FROM s1 JOIN ext ON s1.country_norm = ext.country_norm AND s1.postal_code = ext.postal_code JOIN codes c ON c.country_norm = ext.country_norm AND c.postal_code = ext.postal_code),
 aw AS (SELECT country_norm, entity_id, unnest(address_tokens) AS t FROM ext), awf AS (SELECT * FROM aw WHERE length(t) >= 3 AND t NOT IN ({_GENERIC})),
-astop AS (SELECT t FROM awf GROUP BY 1 HAVING count(*) > 50), ai AS (SELECT DISTINCT country_norm, t, entity_id FROM awf WHERE t NOT IN (SELECT t FROM astop)),
+astop AS (SELECT t FROM awf GROUP BY 1 HAVING count(*) > greatest(500, floor(0.01 * (SELECT count(*) FROM ext)))), ai AS (SELECT DISTINCT country_norm, t, entity_id FROM awf WHERE t NOT IN (SELECT t FROM astop)),
 by_word AS (SELECT s.entity_id AS s1, ai.entity_id AS id FROM (SELECT entity_id, country_norm, unnest(list_distinct(address_tokens)) AS t FROM s1) s JOIN ai ON ai.t = s.t AND ai.country_norm = s.country_norm GROUP BY 1, 2 HAVING count(*) >= 2)"""
 _LENGTHS = ", lengths AS (SELECT entity_id, length(business_name) AS c, CASE WHEN business_name = '' THEN 0 ELSE length(business_name) - length(replace(business_name, ' ', '')) + 1 END AS w FROM ent)"
 
@@ -105,16 +107,25 @@ ORACLE_SQL = {
     "token_linked_records": q("SELECT * FROM pred", _PRED.replace("linked l", "linked l")),
     "stop_tokens": q("SELECT key, CAST(n AS BIGINT) AS n FROM stops"),
     "soundex_codes": q(
-        f"SELECT entity_id, CASE WHEN l = '' THEN '' ELSE rpad(left(l, 1) || left(regexp_replace(array_to_string(list_filter(string_split(c, ''), lambda x, i: i > 1 AND x <> substr(c, i - 1, 1)), ''), '[^1-9]', '', 'g'), 3), 4, '0') END AS code "
+        f"SELECT entity_id, CASE WHEN l = '' THEN '' ELSE {_SOUNDEX} END AS code "
         f"FROM (SELECT entity_id, l, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{CODES}') AS c FROM (SELECT entity_id, {_LETTERS} AS l FROM full_norm))"
     ),
     "sorted_neighbours": q(
-        "SELECT DISTINCT a.s1, e.id FROM asked a JOIN listed e ON a.part = e.part AND e.place BETWEEN a.p - 2 AND a.p + 2",
+        "SELECT DISTINCT a.s1, e.id FROM asked a JOIN listed e ON a.part = e.part AND e.place BETWEEN a.p - 10 AND a.p + 10",
         """, sn AS (SELECT country_norm AS part, name_norm AS name, entity_id AS id, NULL AS s1 FROM ext WHERE name_norm <> '' UNION ALL SELECT country_norm, name_norm, NULL, entity_id FROM s1 WHERE name_norm <> '' AND country_norm IN (SELECT country_norm FROM ext WHERE name_norm <> '')),
 ranked AS (SELECT *, sum(CASE WHEN id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY part ORDER BY name, id IS NOT NULL, id, s1 ROWS UNBOUNDED PRECEDING) AS place FROM sn),
 listed AS (SELECT part, place - 1 AS place, id FROM ranked WHERE id IS NOT NULL), asked AS (SELECT part, place AS p, s1 FROM ranked WHERE s1 IS NOT NULL)""",
     ),
     "postal_address_candidates": q("SELECT * FROM by_code UNION SELECT * FROM by_word", _ADDRESS),
+    "phonetic_candidates": q(
+        "SELECT DISTINCT a.id AS s1, b.id FROM pkeys a JOIN pkeys b USING (part, key) JOIN psizes USING (part, key) WHERE a.id LIKE 'S1%' AND b.id NOT LIKE 'S1%'",
+        f""", pw AS (SELECT entity_id AS id, country_norm AS part, list_filter(string_split(name_norm, ' '), lambda x: length(x) >= 2) AS w FROM full_norm),
+pt AS (SELECT id, part, unnest(w) AS t FROM pw), pl AS (SELECT *, {_LETTERS.replace('name_norm', 't')} AS l FROM pt),
+pc AS (SELECT *, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{CODES}') AS c FROM pl WHERE l <> ''),
+pkeys AS (
+  SELECT DISTINCT id, part, 'sx_' || {_SOUNDEX} AS key FROM pc UNION SELECT id, part, 'p3_' || left(t, 3) FROM pt UNION SELECT id, part, 'first_' || left(w[1], 4) FROM pw WHERE len(w) > 0),
+psizes AS (SELECT part, key FROM pkeys WHERE id NOT LIKE 'S1%' GROUP BY 1, 2 HAVING count(*) <= 2000)""",
+    ),
     "pair_features": q(
         """SELECT p.s1 AS source1_entity_id, p.id AS candidate_entity_id, CAST(a.business_name = b.business_name AS INTEGER) AS name_exact_raw, CAST(a.name_norm = b.name_norm AND a.name_norm <> '' AS INTEGER) AS name_exact_norm,
   round(p.common::DOUBLE / p.any_, 6) AS name_jaccard_tokens, CAST(p.common AS INTEGER) AS name_token_overlap_count, CAST(a.address_norm = b.address_norm AND a.address_norm <> '' AS INTEGER) AS address_exact_norm,
