@@ -134,14 +134,18 @@ def split_distribution(spark, sf_dir):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")), 6))
 
 
+def _half_candidates(s1: DataFrame, ext: DataFrame) -> DataFrame:
+    """Candidate lists out of source 2 alone, so that matches in source 3 violate them."""
+    return blocking.joined_lists(s1, _linked(s1, ext).filter(F.col("id").startswith("S2")))
+
+
 def subset_violations(spark, sf_dir):
-    s1, ext = _sides(spark, sf_dir)
-    return scoring.subset_violations(A.truth(spark, sf_dir), blocking.joined_lists(s1, _linked(s1, ext)))
+    return scoring.subset_violations(A.truth(spark, sf_dir), _half_candidates(*_sides(spark, sf_dir)))
 
 
 def output_validation(spark, sf_dir):
     s1, ext = _sides(spark, sf_dir)
-    return scoring.validate(A.truth(spark, sf_dir), blocking.joined_lists(s1, _linked(s1, ext)), s1)
+    return scoring.validate(A.truth(spark, sf_dir), _half_candidates(s1, ext).filter("candidate_entity_ids <> ''"), s1)
 
 
 def match_count_histogram(spark, sf_dir):

@@ -91,6 +91,10 @@ by_word AS (SELECT s.entity_id AS s1, ai.entity_id AS id FROM (SELECT entity_id,
 _LENGTHS = ", lengths AS (SELECT entity_id, length(business_name) AS c, CASE WHEN business_name = '' THEN 0 ELSE length(business_name) - length(replace(business_name, ' ', '')) + 1 END AS w FROM ent)"
 
 
+_VIOLATED = _LINKED + """, half AS (SELECT s1, id FROM linked WHERE id LIKE 'S2%'),
+violated AS (SELECT x.s1 AS source1_entity_id, string_agg(x.id, ',' ORDER BY x.id) AS extra FROM truth_pairs x LEFT JOIN half USING (s1, id) WHERE half.id IS NULL GROUP BY 1)"""
+
+
 def _sweep(mode: str) -> str:
     """sweep_<mode>: macro scores at every threshold; top1 keeps each entity's best candidate."""
     only = "" if mode == "multi" else " WHERE place = 1"
@@ -137,8 +141,10 @@ FROM jac p JOIN s1 a ON a.entity_id = p.s1 JOIN ext b ON b.entity_id = p.id"""
     "macro_scores": q("SELECT round(avg(precision_), 6) AS macro_precision, round(avg(recall_), 6) AS macro_recall, round(avg(f), 6) AS macro_f_beta, count(*) AS evaluated_entities FROM scores", _SCORES),
     "stratified_split": q("SELECT entity_id, CAST(stratum AS INTEGER) AS stratum, split FROM parts", _SPLIT),
     "split_distribution": q("SELECT split, CAST(stratum AS INTEGER) AS stratum, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY split), 6) AS share FROM parts GROUP BY 1, 2", _SPLIT),
-    "subset_violations": q(
-        "SELECT t.source1_entity_id, string_agg(x.id, ',' ORDER BY x.id) AS extra FROM truth t JOIN truth_pairs x ON x.s1 = t.source1_entity_id LEFT JOIN linked l ON l.s1 = x.s1 AND l.id = x.id WHERE l.id IS NULL GROUP BY 1", _LINKED
+    "subset_violations": q("SELECT * FROM violated", _VIOLATED),
+    "output_validation": q(
+        "SELECT (SELECT count(*) FROM s1 WHERE entity_id NOT IN (SELECT source1_entity_id FROM truth)) AS missing_matches, CAST(0 AS BIGINT) AS unknown_matches, (SELECT count(*) FROM s1 WHERE entity_id NOT IN (SELECT s1 FROM half)) AS missing_candidates, CAST(0 AS BIGINT) AS unknown_candidates, (SELECT count(*) FROM violated) AS violations, count(*) AS rows, (SELECT count(*) FROM truth_pairs) AS matched_references, count(*) FILTER (matched_entity_ids = '') AS singletons FROM truth",
+        _VIOLATED,
     ),
     "match_count_histogram": q(
         "SELECT b.bucket, CAST(coalesce(h.n, 0) AS BIGINT) AS n FROM (VALUES ('0'), ('1'), ('2'), ('3'), ('4'), ('5+')) b(bucket) LEFT JOIN h USING (bucket)",

@@ -106,13 +106,16 @@ def test_split(spark, tmp_path):
         scoring.split(s1, truth, 1.0)
 
 
-def test_training_and_sweep(spark):
+def test_training_and_sweep(spark, tmp_path):
     rows = [(f"A{i}", f"C{i}", int(i < 2), int(i < 5), i % 7 / 7, i / 20) for i in range(20)]
     frame = spark.createDataFrame(rows, "source1_entity_id string, candidate_entity_id string, is_true_match int, is_exact_tier int, f1 double, f2 double")
     assert matching.training_sample(frame, ratio=5).count() == 2 + 3 + 7
     with pytest.raises(ValueError):
         matching.training_sample(frame.filter("is_true_match = 0"))
     model = matching.train(frame, ["f1", "f2"], maxIter=2, minInstancesPerNode=1)
+    model.write().overwrite().save(f"{tmp_path}/model")
+    again = matching.predict(matching.load(f"{tmp_path}/model"), frame).select("match_probability").collect()
+    assert again == matching.predict(model, frame).select("match_probability").collect()
     assert matching.predict(model, frame).filter("match_probability between 0 and 1").count() == 20
     assert len(matching.importance(model, ["f1", "f2"])) == 2
     scored = spark.createDataFrame([("A", "C1", 0.85), ("A", "C2", 0.65), ("A", "C3", 0.2), ("B", "C4", 0.4)], "source1_entity_id string, candidate_entity_id string, match_probability float")
@@ -124,6 +127,9 @@ def test_training_and_sweep(spark):
     truth = spark.createDataFrame([("A", "C1"), ("B", "")], "source1_entity_id string, matched_entity_ids string")
     table = matching.sweep(scored, truth)
     assert table.count() == 19 and matching.best(table).first()["macro_f_beta"] == 1.0
+    assert matching.best_of_modes(scored, truth).first()["mode"] == "multi"
+    assert scoring.empty_baseline(truth).first()["macro_f_beta"] == 0.5
+    assert matching.shuffled(frame).count() == 20
 
 
 def test_profiles(spark):
@@ -136,6 +142,12 @@ def test_profiles(spark):
     assert profiling.numeric_summary(frame, ["v"]).first()["mean"] == pytest.approx(0.6)
     assert profiling.pair_metrics(frame, "t", "t").first()["sequence_ratio"] == 1.0
     assert profiling.histogram(frame, "v", 0, 1, 10).count() == 3
+    truth = spark.createDataFrame([("S1-1", "a,zz"), ("S1-2", "b,zz")], "source1_entity_id string, matched_entity_ids string")
+    assert [r[0] for r in profiling.orphans(truth, frame).collect()] == ["zz"]
+    gains = spark.createDataFrame([("p", 0.1, 0.9), ("q", 0.5, 0.6), ("r", 0.9, 0.2)], "k string, x double, y double")
+    assert [r["k"] for r in profiling.top_gains(gains, "x", "y", "k", 2).collect()] == ["p", "q"]
+    scripts = spark.createDataFrame([("latin", "tamil"), ("latin", "latin"), ("latin", "unknown")], "s1_name_script string, cand_name_script string")
+    assert profiling.cross_script(scripts).count() == 1
 
 
 def test_files_and_stream(spark, tmp_path):
@@ -146,6 +158,11 @@ def test_files_and_stream(spark, tmp_path):
     matches = spark.createDataFrame([("S1-1", "")], io.TRUTH)
     io.write_tsv(matches.coalesce(1), f"{tmp_path}/out")
     assert io.header_matches(spark, f"{tmp_path}/out", "matching") and not io.header_matches(spark, f"{tmp_path}/out", "candidates")
+    for batch in (["S1-3", "S1-2"], ["S1-9", "S1-4"]):
+        io.append_tsv(spark.createDataFrame([(b, "x,y") for b in batch], io.TRUTH).repartition(2), f"{tmp_path}/all.tsv", "source1_entity_id")
+    with open(f"{tmp_path}/all.tsv") as file:
+        assert file.read().split("\n") == ["source1_entity_id\tmatched_entity_ids", "S1-2\tx,y", "S1-3\tx,y", "S1-4\tx,y", "S1-9\tx,y", ""]
+    assert io.header_matches(spark, f"{tmp_path}/all.tsv", "matching")
     lines = [r[0] for r in spark.read.text(f"{tmp_path}/out").collect()]
     assert "S1-1\t" in lines
     query = match_stream(entity_stream(spark, f"{tmp_path}/in"), lambda b: b.select("entity_id"), f"{tmp_path}/stream", f"{tmp_path}/state")
