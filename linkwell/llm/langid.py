@@ -4,7 +4,7 @@ The network reads every byte of a text, left to right and right to left within w
 each letter position with a distribution over the languages; a document's distribution is the mean
 over its positions. A window is a word (cut at character borders into runs of about WINDOW bytes
 where longer) between two space marks, so equal words have equal labels and each distinct word of a
-batch is read once; no state crosses a blank. The weights are trained in numpy by backpropagation
+task is read once; no state crosses a blank. The weights are trained in numpy by backpropagation
 through time on all windows of a bounded sample of labelled documents (SAMPLE_DOCS of each language).
 
 Cases: a text that is null, empty or without any letter is "und" with score 0; if there are no
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, filled, utf8
-from .textkit import word_bounds, word_hashes
+from .textkit import U, word_bounds, word_hashes
 
 WINDOW = 30  # bytes of a word that are read together, or up to three fewer or more at a character border
 HIDDEN = 16  # units in each direction
@@ -159,16 +159,35 @@ def _rows(buf: np.ndarray, s: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def pooled(net: Net, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Summed distributions (texts x languages) over the letter positions of each text, and their number; 0 without a letter."""
-    n, langs = len(column), len(net.langs)
-    sums, counts = np.zeros((n, langs)), np.zeros(n)
-    buf, off = utf8(column)
-    starts, ends, first = word_bounds(buf, off)
-    s, e = _windows(buf, starts, ends)
-    _, firsts, inverse = np.unique(word_hashes(buf, s, e), return_index=True, return_inverse=True)
-    us, ue = s[firsts], e[firsts]
-    got, weight = np.zeros((len(us), langs), np.float32), np.zeros(len(us), np.float32)
+class Known:
+    """Label sums and letter positions of windows that were read before, by hash; emptied when it holds MOST, which changes no result."""
+
+    MOST = 1 << 19
+
+    def __init__(self, langs: int):
+        self.langs = langs
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.got, self.weight = np.zeros(0, U), np.zeros((0, self.langs), np.float32), np.zeros(0, np.float32)
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the sorted distinct hashes that are not known."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        return np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
+
+    def add(self, hashes: np.ndarray, got: np.ndarray, weight: np.ndarray) -> None:
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.got, self.weight = np.insert(self.hashes, at, hashes), np.insert(self.got, at, got, axis=0), np.insert(self.weight, at, weight)
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        return self.got[at], self.weight[at]
+
+
+def _read(net: Net, buf: np.ndarray, us: np.ndarray, ue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed distributions over the letter positions of each window, and their number."""
+    got, weight = np.zeros((len(us), len(net.langs)), np.float32), np.zeros(len(us), np.float32)
     for size in np.unique(ue - us):
         rows = np.flatnonzero(ue - us == size)
         for at in range(0, len(rows), 8192):
@@ -182,6 +201,26 @@ def pooled(net: Net, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw = buf[us[i] : ue[i]]
         if not ((raw | 32) - 97 < 26).any() and not any(c.isalpha() for c in raw.tobytes().decode("utf-8", "ignore")):
             got[i], weight[i] = 0, 0
+    return got, weight
+
+
+def pooled(net: Net, column: pa.Array, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Summed distributions (texts x languages) over the letter positions of each text, and their number; 0 without a letter.
+
+    Windows in known are not read again, and the others are added to it.
+    """
+    n, langs = len(column), len(net.langs)
+    known = Known(langs) if known is None else known
+    sums, counts = np.zeros((n, langs)), np.zeros(n)
+    buf, off = utf8(column)
+    starts, ends, first = word_bounds(buf, off)
+    s, e = _windows(buf, starts, ends)
+    hashes, firsts, inverse = np.unique(word_hashes(buf, s, e), return_index=True, return_inverse=True)
+    if len(known.hashes) > Known.MOST:
+        known.clear()
+    new = known.missing(hashes)
+    known.add(hashes[new], *_read(net, buf, s[firsts[new]], e[firsts[new]]))
+    got, weight = known.of(hashes)
     doc = np.searchsorted(off, s, side="right") - 1
     for k in range(langs):
         sums[:, k] = np.bincount(doc, got[inverse, k], minlength=n)
@@ -241,12 +280,13 @@ def predict(docs: DataFrame, net: Net, text_col: str = "text", out: tuple[str, s
     at = docs.columns.index(text_col)
 
     def run(batches):
+        known = Known(len(net.langs))
         for batch in batches:
-            for a, n in byte_slices(batch.column(at), 32 << 20):
+            for a, n in byte_slices(batch.column(at)):
                 part = batch.slice(a, n)
                 names, scores = ["und"] * n, np.zeros(n)
                 if net.langs:
-                    sums, counts = pooled(net, part.column(at))
+                    sums, counts = pooled(net, part.column(at), known)
                     best = sums.argmax(axis=1)
                     some = counts > 0
                     scores[some] = np.clip(sums[some, best[some]] / counts[some], 0, 1)
