@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from linkwell.functions import phonetic, similarity
 from linkwell.functions.text import name_from_url
+from linkwell.sources.scratch import kept
+
+from .ranking import running
 
 ANY = "__any__"
 # fixed values: address words that form no key
@@ -108,7 +111,8 @@ def address_candidates(s1: DataFrame, postal: DataFrame, tokens: DataFrame, cap:
 def neighbour_candidates(s1: DataFrame, externals: DataFrame, window: int = 10) -> DataFrame:
     """Sorted neighbourhood: the externals at places p - window to p + window of a country's sorted names, p being the query's place.
 
-    One window pass ranks queries among externals; the neighbours are an equi-join on (part, place).
+    Queries and externals are sorted by ranges, so that a country is spread over tasks; a row's place is its
+    number within its range and the sizes of the ranges before. The neighbours are an equi-join on (part, place).
     """
     ext = externals.filter("name_norm <> ''").select(F.col("country_norm").alias("part"), F.col("name_norm").alias("name"), F.col("entity_id").alias("id"))
     parts = ext.select("part").distinct()
@@ -116,8 +120,11 @@ def neighbour_candidates(s1: DataFrame, externals: DataFrame, window: int = 10)
     known = ask.join(parts, ask["want"] == parts["part"]).select("part", "name", "s1")
     unknown = ask.join(parts, ask["want"] == parts["part"], "left_anti").join(F.broadcast(parts)).select("part", "name", "s1")
     both = ext.select("part", "name", "id", F.lit(None).cast("string").alias("s1")).union(known.union(unknown).select("part", "name", F.lit(None).cast("string"), "s1"))
-    order = Window.partitionBy("part").orderBy("name", F.col("id").isNotNull(), "id", "s1").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = both.withColumn("place", F.sum(F.col("id").isNotNull().cast("int")).over(order))
+    order = ("name", F.col("id").isNotNull(), "id", "s1")
+    both = kept(both.repartitionByRange("part", *order).withColumn("range", F.spark_partition_id()), "names")
+    before = running(both.groupBy("part", "range").agg(F.count("id").alias("n")), "part", "range", "n")
+    within = Window.partitionBy("part", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = both.join(before, ["part", "range"]).withColumn("place", F.col("__before") + F.count("id").over(within))
     listed = ranked.filter("id is not null").select("part", (F.col("place") - 1).alias("place"), "id")
     asked = ranked.filter("s1 is not null").select("part", "s1", F.explode(F.sequence(F.col("place") - window, F.col("place") + window)).alias("place"))
     return asked.join(listed, ["part", "place"]).select("s1", "id").distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import placed
+
 
 def id_list(raw: Column) -> Column:
     """Distinct ids of a comma-joined text; none of null, blank or placeholder texts."""
@@ -57,8 +59,7 @@ def split(s1: DataFrame, truth: DataFrame, fraction: float = 0.2, seed: int = 42
     rows = s1.select("entity_id").join(t, "entity_id", "left").select("entity_id", match_stratum(F.col("matched_entity_ids")).alias("stratum"))
     sizes = rows.groupBy("stratum").agg(F.bround(F.count("*") * fraction).cast("bigint").alias("take"))
     draw = F.md5(F.concat_ws("|", "entity_id", F.lit(str(seed))).cast("binary"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(draw, "entity_id"))
-    ranked = rows.withColumn("place", place).join(F.broadcast(sizes), "stratum")
+    ranked = placed(rows, "stratum", draw, "entity_id", out="place").join(F.broadcast(sizes), "stratum")
     return ranked.select("entity_id", "stratum", F.when(F.col("place") <= F.col("take"), "val").otherwise("train").alias("split"))
 
 

@@ -2,9 +2,12 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from linkwell.operators import blocking, features, matching, profiling, scoring
 from linkwell.operators.normalize import add_phonetic, normalize_entities
+from linkwell.operators.ranking import placed
 from linkwell.sources import io
 from linkwell.streaming.incremental import entity_stream, match_stream
 
@@ -169,3 +172,16 @@ def test_files_and_stream(spark, tmp_path):
     query.awaitTermination()
     assert {r["entity_id"] for r in spark.read.parquet(f"{tmp_path}/stream").collect()} == {"S1-1", "S1-2"}
     assert io.report("T", rows.select("entity_id")).count("\n") == 6
+
+
+def test_places_and_ranges(spark):
+    rows = spark.range(5000).selectExpr("concat('k', id) AS k", "CAST(id % 2 AS STRING) AS g").repartition(3)
+    got = placed(rows, "g", matching.hash_order(1, "k"), "k")
+    want = rows.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(matching.hash_order(1, "k"), "k")))
+    assert got.join(want, ["k", "g"]).filter("__place = want").count() == 5000
+    assert placed(rows.limit(0), "g", matching.hash_order(1, "k"), "k").count() == 0
+    names = spark.range(300).selectExpr("concat('S2-', id) AS entity_id", "concat('n', lpad(id % 100, 3, '0')) AS name_norm", "'us' AS country_norm")
+    found = ids(blocking.neighbour_candidates(ask(spark, "n050a"), names, 2))
+    listed = sorted((r["name_norm"], r["entity_id"]) for r in names.collect())
+    at = sum(n <= "n050a" for n, _ in listed)
+    assert found == {i for _, i in listed[at - 2 : at + 3]}
