@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from linkwell.llm import components as stars
 from linkwell.llm import jaccard_join, lattice, queries
 from linkwell.llm.components import components
 
@@ -178,3 +179,23 @@ def test_near_vectors(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("few", [100, 2])
+def test_component_plans_stay_small(spark, monkeypatch, few):
+    """The driver keeps every plan of a round: none holds another one twice. Hot vertices (few = 2) give the same."""
+    exchanges, write = [], stars.stage
+
+    def noted(df, label):
+        exchanges.append(len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString())))
+        return write(df, label)
+
+    monkeypatch.setattr(stars, "stage", noted)
+    monkeypatch.setattr(stars, "FEW", few)
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(80)] + [(7, 7), (None, 3), (5, 4), (4, 5)]
+    got = components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    linked = [(a, b) for a, b in links if a is not None and a != b]
+    want = roots({x for link in linked for x in link}, linked)
+    assert len(got) == len(want) and {r["id"]: r["component_id"] for r in got} == want
+    assert max(exchanges) <= 3
